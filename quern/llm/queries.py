@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import nearduplicates
+from quern.llm import nearduplicates, neighbours, repeatedlines, splitting
+
+#: Lengths of the two models' vectors (TESTDATA.md).
+DIMS = {"lark-embed-m": 64, "lark-embed-s": 48}
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -23,8 +26,41 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return nearduplicates.group_pairs(p1_groups(spark, folder))
 
 
+def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """All chunk texts as pieces of at most 1,600 characters with 200 of overlap."""
+    return splitting.split_oversized(_read(spark, folder, "chunks"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_pieces(spark, folder).where("boundary is not null and piece_no = 0").select("id", "boundary").distinct()
+
+
+def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """For every usable vector its five most similar ones, as far as their cosine is 0.9 or more."""
+    return neighbours.most_similar(_read(spark, folder, "embedding_responses"), DIMS, k=5, floor=0.9)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_neighbours(spark, folder).select(F.least("a", "b").alias("vec_a"), F.greatest("a", "b").alias("vec_b")).distinct()
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return repeatedlines.repeated_places(_read(spark, folder, "chunks")).select("id", "line_no").distinct()
+
+
+def p4_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks of repeated lines that stand together on a site, with the number of documents they span."""
+    return repeatedlines.repeated_blocks(_read(spark, folder, "chunks"))
+
+
+def p4_cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    """Every chunk text without the lines repeated on its site."""
+    return repeatedlines.without_repeated(_read(spark, folder, "chunks"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_groups": p1_groups, "p1_found": p1_found}
+    own = (p1_groups, p1_found, p2_pieces, p2_found, p3_neighbours, p3_found, p4_found, p4_blocks, p4_cleaned)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
