@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import nearduplicates, neighbours, repeatedlines, splitting
+from quern.llm import nearduplicates, neighbours, pairs, repeatedlines, splitting
 
 #: Lengths of the two models' vectors (TESTDATA.md).
 DIMS = {"lark-embed-m": 64, "lark-embed-s": 48}
@@ -58,8 +58,12 @@ def p4_cleaned(spark: SparkSession, folder: str) -> DataFrame:
     return repeatedlines.without_repeated(_read(spark, folder, "chunks"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs.flag_pairs(_read(spark, folder, "query_responses")).select("response_id", "defect").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_groups, p1_found, p2_pieces, p2_found, p3_neighbours, p3_found, p4_found, p4_blocks, p4_cleaned)
+    own = (p1_groups, p1_found, p2_pieces, p2_found, p3_neighbours, p3_found, p4_found, p4_blocks, p4_cleaned, p5_found)
     return {f.__name__: f for f in own}
 
 
