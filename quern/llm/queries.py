@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import nearduplicates, neighbours, pairs, repeatedlines, splitting
+from quern.llm import mixing, nearduplicates, neighbours, packing, pairs, repeatedlines, splitting, textkinds
 
 #: Lengths of the two models' vectors (TESTDATA.md).
 DIMS = {"lark-embed-m": 64, "lark-embed-s": 48}
@@ -62,8 +62,40 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.flag_pairs(_read(spark, folder, "query_responses")).select("response_id", "defect").distinct()
 
 
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Training sequences of 2,048 tokens: where each document, or piece of a longer one, goes."""
+    return packing.fill_containers(_read(spark, folder, "documents"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.cut_documents(p6_containers(spark, folder))
+
+
+def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of the mixture, with the number of times each is used."""
+    return mixing.mix(_read(spark, folder, "documents"), _read(spark, folder, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share each source really reaches."""
+    return mixing.reached_shares(p7_mixture(spark, folder))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.source_shares(_read(spark, folder, "documents"), _read(spark, folder, "mix_targets")).where("short").select("source").distinct()
+
+
+def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics, line-kind shares and kind of every document."""
+    return textkinds.text_statistics(_read(spark, folder, "documents"), _read(spark, folder, "common_words"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_statistics(spark, folder).where("kind <> 'prose'").select("doc_id", "kind").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_groups, p1_found, p2_pieces, p2_found, p3_neighbours, p3_found, p4_found, p4_blocks, p4_cleaned, p5_found)
+    own = (p1_groups, p1_found, p2_pieces, p2_found, p3_neighbours, p3_found, p4_found, p4_blocks, p4_cleaned, p5_found, p6_containers, p6_found, p7_mixture, p7_shares, p7_found, p8_statistics, p8_found)
     return {f.__name__: f for f in own}
 
 
