@@ -53,43 +53,63 @@ def _with_repeated(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(sets) if few else sets, "site")
 
 
-def repeated_places(df: DataFrame, key: str = "id", text: str = "text", url: str = "url", least: int = 5, share: float = 0.05) -> DataFrame:
-    """(id, site, line_no, line, run, place): every place of a repeated line, line_no from 1.
-
-    `run` numbers the stretches of repeated lines of a document, blank lines
-    between them aside, and `place` counts within the run: the suffixes that
-    start at these places are all that a repeated block can start with.
-    """
+def _runs(df: DataFrame, key: str, text: str, url: str, least: int, share: float) -> DataFrame:
+    """(site, id, seq, at): the stretches of repeated lines of a document, blank lines aside, with their line numbers. The suffixes of these are all that a repeated block can start with."""
     repeated = cut_lineage(repeated_lines(df, key, text, url, least, share))
     docs = _with_repeated(_documents(df, key, text, url), repeated)
-    hit = docs.select("id", "site", F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("at"), x.alias("line"), F.array_contains("repeated", x).alias("hit"))), lambda s: s["line"].isNotNull()).alias("s"))
-    hit = hit.where(F.exists("s", lambda x: x["hit"])).select("id", "site", F.posexplode("s").alias("k", "p")).where("p.hit")
-    order = Window.partitionBy("id").orderBy("k")
-    run = hit.select("id", "site", "k", (F.col("p.at") + 1).cast("bigint").alias("line_no"), F.col("p.line").alias("line"), (F.col("k") - F.row_number().over(order)).alias("run"))
-    return run.select("id", "site", "line_no", "line", "run", F.row_number().over(Window.partitionBy("id", "run").orderBy("k")).alias("place"))
+    marked = F.filter(F.transform("lines", lambda x, i: F.struct((i + 1).cast("bigint").alias("at"), x.alias("line"), F.array_contains("repeated", x).alias("hit"))), lambda s: s["line"].isNotNull())
+    hit = docs.select("id", "site", marked.alias("s")).where(F.exists("s", lambda x: x["hit"])).select("id", "site", F.posexplode("s").alias("k", "p")).where("p.hit")
+    run = hit.select("id", "site", "k", "p.at", "p.line", (F.col("k") - F.row_number().over(Window.partitionBy("id").orderBy("k"))).alias("run"))
+    rows = run.groupBy("id", "site", "run").agg(F.array_sort(F.collect_list(F.struct("k", "line", "at"))).alias("r"))
+    return cut_lineage(rows.select("site", "id", F.col("r.line").alias("seq"), F.col("r.at").alias("at")))
 
 
-def repeated_blocks(df: DataFrame, key: str = "id", text: str = "text", url: str = "url", least: int = 5, share: float = 0.05) -> DataFrame:
-    """(site, lines, length, documents): maximal blocks of repeated lines that stand together in at least `least` documents of a site.
+def _suffixes(rows: DataFrame, *keep: str) -> DataFrame:
+    starts = F.explode(F.sequence(F.lit(1), F.size("seq"))).alias("start")
+    return rows.select("site", "seq", *keep, starts).select("site", *keep, "start", F.slice("seq", F.col("start"), F.size("seq")).alias("suffix")).withColumn("first", F.col("suffix")[0])
 
-    Equal runs are merged with their document counts first. The suffixes of
-    what is left are sorted within (site, first line); the common prefix of
-    neighbours in that order is a block, counted over the documents whose
-    runs hold it.
+
+def _blocks(runs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """The repeated blocks of each site, and the places (site, id, at, start, lines) where documents hold them.
+
+    Equal runs are merged with their counts, so the suffix array of a site is
+    built over distinct runs. Suffixes are sorted within (site, first line);
+    the common prefix of neighbours in that order is a block, and so is a
+    suffix that occurs often by itself. The shortest common prefix of a
+    bucket spans all of its documents.
     """
-    places = repeated_places(df, key, text, url, least, share)
-    runs = places.groupBy("site", "id", "run").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]).alias("seq"))
-    runs = cut_lineage(runs.select("site", "id", "seq").distinct())
     kinds = runs.groupBy("site", "seq").agg(F.count("*").alias("n"))
-    suffixes = kinds.select("site", "n", F.explode(F.transform(F.sequence(F.lit(1), F.size("seq")), lambda i: F.slice("seq", i, F.size("seq")))).alias("suffix"))
-    suffixes = suffixes.groupBy("site", "suffix").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("site", F.col("suffix")[0]).orderBy("suffix")
-    near = suffixes.select("site", "suffix", "n", F.lag("suffix").over(order).alias("before"))
-    same = F.coalesce(F.array_min(F.filter(F.transform(F.arrays_zip(F.col("suffix").alias("x"), F.col("before").alias("y")), lambda s, i: F.when(s["x"].eqNullSafe(s["y"]), F.lit(None).cast("int")).otherwise(i)), lambda x: x.isNotNull())), F.size("suffix"))
-    blocks = near.where("before is not null").select("site", F.slice("suffix", F.lit(1), F.greatest(same, F.lit(1))).alias("lines")).union(near.where(F.col("n") >= least).select("site", F.col("suffix").alias("lines"))).distinct()
-    starts = runs.select("site", "id", F.explode(F.transform(F.sequence(F.lit(1), F.size("seq")), lambda i: F.slice("seq", i, F.size("seq")))).alias("suffix")).withColumn("first", F.col("suffix")[0])
-    held = starts.join(blocks.withColumn("first", F.col("lines")[0]), ["site", "first"]).where(F.slice("suffix", F.lit(1), F.size("lines")) == F.col("lines"))
-    return held.groupBy("site", "lines").agg(F.countDistinct("id").alias("documents")).where(F.col("documents") >= least).select("site", "lines", F.size("lines").alias("length"), "documents")
+    array = _suffixes(kinds, "n").groupBy("site", "first", "suffix").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("site", "first").orderBy("suffix")
+    near = array.select("site", "suffix", "n", F.lag("suffix").over(order).alias("before"))
+    differs = F.filter(F.transform(F.arrays_zip(F.col("suffix").alias("x"), F.col("before").alias("y")), lambda s, i: F.when(~s["x"].eqNullSafe(s["y"]), i)), lambda i: i.isNotNull())
+    common = near.where("before is not null").select("site", F.slice("suffix", F.lit(1), F.coalesce(F.array_min(differs), F.size("suffix"))).alias("lines"))
+    often = near.where(F.col("n") >= least).select("site", F.col("suffix").alias("lines"))
+    found = cut_lineage(common.union(often).distinct().withColumn("first", F.col("lines")[0]))
+    few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    held = _suffixes(runs, "id", "at").join(F.broadcast(found) if few else found, ["site", "first"]).where(F.slice("suffix", F.lit(1), F.size("lines")) == F.col("lines"))
+    blocks = held.groupBy("site", "lines").agg(F.countDistinct("id").alias("documents")).where(F.col("documents") >= least)
+    return blocks, held
+
+
+def repeated_blocks(df: DataFrame, key: str = "id", text: str = "text", url: str = "url", least: int = 5, share: float = 0.05) -> DataFrame:
+    """(site, lines, length, documents): blocks of repeated lines that stand together in at least `least` documents of a site; `lines` are line identifiers."""
+    blocks, _ = _blocks(_runs(df, key, text, url, least, share), least)
+    return blocks.select("site", "lines", F.size("lines").alias("length"), "documents")
+
+
+def repeated_places(df: DataFrame, key: str = "id", text: str = "text", url: str = "url", least: int = 5, share: float = 0.05) -> DataFrame:
+    """(id, site, line_no): every line of a document, from 1, that lies in a repeated block of its site.
+
+    Null keys, rows without a site and null texts give no row; rows that
+    repeat a key count once; other columns are ignored.
+    """
+    blocks, held = _blocks(_runs(df, key, text, url, least, share), least)
+    blocks = cut_lineage(blocks.select("site", "lines"))
+    few = blocks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    places = held.join(F.broadcast(blocks) if few else blocks, ["site", "lines"], "left_semi")
+    longest = places.groupBy("site", "id", "at", "start").agg(F.max(F.size("lines")).alias("length"))
+    return longest.select("id", "site", F.explode(F.slice("at", F.col("start"), F.col("length"))).alias("line_no")).distinct()
 
 
 def without_repeated(df: DataFrame, key: str = "id", text: str = "text", url: str = "url", least: int = 5, share: float = 0.05) -> DataFrame:
