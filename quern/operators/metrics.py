@@ -17,11 +17,10 @@ def label_key(labels: Column) -> Column:
     return F.when(labels.isNull() | (F.size(labels) == 0), F.lit("")).otherwise(F.concat(F.lit("{"), text, F.lit("}")))
 
 
-def samples(events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by..., kind, name, labels, ts, value): whole repeated rows once, values that are null or no number left out, labels as text."""
-    keep = [*by, "kind", "name", label_key(F.col("labels")).alias("labels"), "ts", "received_at", "value", "collector"]
-    rows = events.where(F.col("value").isNotNull() & ~F.isnan("value")).select(*dict.fromkeys(keep))
-    return rows.distinct()
+def samples(events: DataFrame) -> DataFrame:
+    """(kind, name, labels, ts, received_at, value, collector): whole repeated rows once, values that are null or no number left out, labels as text."""
+    rows = events.where(F.col("value").isNotNull() & ~F.isnan("value")).withColumn("labels", label_key(F.col("labels")))
+    return rows.select("kind", "name", "labels", "ts", "received_at", "value", "collector").distinct()
 
 
 def counters(rows: DataFrame) -> DataFrame:
@@ -64,8 +63,8 @@ def exposition(rows: DataFrame) -> DataFrame:
     h = histograms(rows)
     parts = F.array(
         F.struct(F.lit("_count").alias("suffix"), F.lit("").alias("q"), F.col("count").cast("double").alias("value")),
-        F.struct(F.lit("_sum"), F.lit(""), F.col("mean") * F.col("count")),
-        *(F.struct(F.lit(""), F.lit(f"quantile={p}"), F.col(f"p{int(p * 100)}")) for p in QUANTILES),
+        F.struct(F.lit("_sum").alias("suffix"), F.lit("").alias("q"), (F.col("mean") * F.col("count")).alias("value")),
+        *(F.struct(F.lit("").alias("suffix"), F.lit(f"quantile={p}").alias("q"), F.col(f"p{int(p * 100)}").alias("value")) for p in QUANTILES),
     )
     flat = h.select("name", "labels", F.explode(parts).alias("x"))
     inner = F.when(F.col("x.q") == "", F.col("labels")).when(F.col("labels") == "", F.concat(F.lit("{"), F.col("x.q"), F.lit("}"))).otherwise(F.concat(F.lit("{"), F.col("x.q"), F.lit(","), F.expr("substring(labels, 2)")))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.plans import retrieval
+from quern.plans import operations, retrieval, texts
 
-FAMILIES = (retrieval,)
+FAMILIES = (retrieval, texts, operations)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
