@@ -78,7 +78,7 @@ def sections(body: Column) -> Column:
 
 def subheadings(body: Column) -> Column:
     """Third- and fourth-level headings in order."""
-    return F.transform(F.regexp_extract_all(body, F.lit(r"(?m)^[ \t]*#{3,4}[ \t]+(.+)$"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(body, F.lit(r"(?m)^[ \t]*#{3,4}[ \t]+(.+)$"), F.lit(1)), lambda x: F.trim(x))
 
 
 def is_rtf(text: Column) -> Column:

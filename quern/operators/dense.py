@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quern.functions.batches import flat_list
 
@@ -32,8 +33,8 @@ def latest_vectors(responses: DataFrame, model: str, dim: int, key: str = "chunk
     return rows.groupBy(key).agg(F.max_by("embedding", F.struct("created_at", "vec_id")).alias("embedding"))
 
 
-def _products(batches: Iterator[pa.RecordBatch], ids: list, matrix: np.ndarray, keep: int | None) -> Iterator[pa.RecordBatch]:
-    asked = pa.array(ids)
+def _products(batches: Iterator[pa.RecordBatch], ids: list, kind: pa.DataType, matrix: np.ndarray, keep: int | None) -> Iterator[pa.RecordBatch]:
+    asked = pa.array(ids, kind)
     for batch in batches:
         x = flat_list(batch.column("embedding"))[0].astype(np.float64).reshape(batch.num_rows, -1)
         if not len(x):
@@ -65,8 +66,9 @@ def dense_scores(queries: DataFrame, vectors: DataFrame, query_key: str = "query
         return vectors.sparkSession.createDataFrame([], schema).select(F.col("q").alias(query_key), F.col("key").alias(key), "dense")
     asked.sort(key=lambda r: r[0])
     m = np.array([r["embedding"] for r in asked], np.float64)
+    kind = to_arrow_type(queries.schema[query_key].dataType)
     m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-    rows = vectors.select(F.col(key).alias("key"), "embedding").mapInArrow(lambda it: _products(it, [r[0] for r in asked], m, keep), schema)
+    rows = vectors.select(F.col(key).alias("key"), "embedding").mapInArrow(lambda it: _products(it, [r[0] for r in asked], kind, m, keep), schema)
     return rows.select(F.col("q").alias(query_key), F.col("key").alias(key), "dense")
 
 
