@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import mixing, nearduplicates, neighbours, packing, pairs, repeatedlines, splitting, textkinds
+from quern.llm import mixing, nearduplicates, neighbours, packing, pairs, repeatedlines, splitting, sql, textkinds
 
 #: Lengths of the two models' vectors (TESTDATA.md).
 DIMS = {"lark-embed-m": 64, "lark-embed-s": 48}
@@ -100,4 +100,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.SQL)

@@ -25,7 +25,7 @@ def boundary_of(text: Column, limit: int) -> Column:
     lines = F.split(text, r"\r\n|\n|\r")
     sentences = F.split(text, r"(?U)(?<=[.!?])\s+|[\r\n]+")
     return (
-        F.when(fits(F.split(text, r"(?U)(?:\r\n|\n|\r)(?:[\s&&[^\r\n]]*(?:\r\n|\n|\r))+")), "paragraph")
+        F.when(fits(F.split(text, r"(?U)(?>\r\n|\n|\r)(?:[\s&&[^\r\n]]*(?>\r\n|\n|\r))+")), "paragraph")
         .when(fits(lines), "line")
         .when(fits(sentences), "sentence")
         .when(fits(F.split(text, r"(?U)\s+")), "word")
