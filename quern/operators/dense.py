@@ -33,16 +33,20 @@ def latest_vectors(responses: DataFrame, model: str, dim: int, key: str = "chunk
     return rows.groupBy(key).agg(F.max_by("embedding", F.struct("created_at", "vec_id")).alias("embedding"))
 
 
+def _cosines(batch: pa.RecordBatch, matrix: np.ndarray) -> np.ndarray:
+    x = flat_list(batch.column("embedding"))[0].astype(np.float64).reshape(batch.num_rows, -1)
+    length = np.linalg.norm(x, axis=1)
+    return (x / np.where(length > 0, length, 1e-9)[:, None]) @ matrix.T
+
+
 def _products(batches: Iterator[pa.RecordBatch], ids: list, kind: pa.DataType, matrix: np.ndarray, keep: int | None) -> Iterator[pa.RecordBatch]:
     asked = pa.array(ids, kind)
     for batch in batches:
-        x = flat_list(batch.column("embedding"))[0].astype(np.float64).reshape(batch.num_rows, -1)
-        if not len(x):
+        if not batch.num_rows:
             continue
-        length = np.linalg.norm(x, axis=1)
-        cos = (x / np.where(length > 0, length, 1e-9)[:, None]) @ matrix.T
-        if keep is not None and len(x) > keep:  # more than any batch can contribute to a top list, ties included
-            least = np.partition(cos, len(x) - keep, axis=0)[len(x) - keep]
+        cos = _cosines(batch, matrix)
+        if keep is not None and len(cos) > keep:  # more than any batch can contribute to a top list, ties included
+            least = np.partition(cos, len(cos) - keep, axis=0)[len(cos) - keep]
             row, column = np.nonzero(cos >= least - 1e-9)
         else:
             row, column = np.divmod(np.arange(cos.size), len(ids))
@@ -51,27 +55,58 @@ def _products(batches: Iterator[pa.RecordBatch], ids: list, kind: pa.DataType, m
             yield pa.RecordBatch.from_arrays([asked.take(pa.array(c)), batch.column("key").take(pa.array(r)), pa.array(cos[r, c])], ["q", "key", "dense"])
 
 
+def _sums(batches: Iterator[pa.RecordBatch], ids: list, kind: pa.DataType, matrix: np.ndarray) -> Iterator[pa.RecordBatch]:
+    n, s1, s2 = 0, np.zeros(len(ids)), np.zeros(len(ids))
+    for batch in batches:
+        if batch.num_rows:
+            cos = _cosines(batch, matrix)
+            n, s1, s2 = n + len(cos), s1 + cos.sum(axis=0), s2 + (cos * cos).sum(axis=0)
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(np.full(len(ids), n, np.int64)), pa.array(s1), pa.array(s2)], ["q", "n", "s1", "s2"])
+
+
+def _matrix(queries: DataFrame, query_key: str) -> tuple[list, pa.DataType, np.ndarray]:
+    """Keys and normalised vectors of the queries; bounded by QUERY_BLOCK."""
+    asked = queries.select(query_key, "embedding").limit(QUERY_BLOCK + 1).collect()
+    if len(asked) > QUERY_BLOCK:
+        raise ValueError(f"at most {QUERY_BLOCK} query vectors at a time; split the queries")
+    asked.sort(key=lambda r: r[0])
+    m = np.array([r["embedding"] for r in asked], np.float64)
+    if len(asked):
+        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    return [r[0] for r in asked], to_arrow_type(queries.schema[query_key].dataType), m
+
+
 def dense_scores(queries: DataFrame, vectors: DataFrame, query_key: str = "query_id", key: str = "id", keep: int | None = None) -> DataFrame:
     """(query_key, key, dense): cosine of every query with every vector, worked out as block products in Arrow batches.
 
     With `keep` a batch gives only what can be among a query's `keep` best.
     Queries are bounded by QUERY_BLOCK rows a pass.
     """
-    asked = queries.select(query_key, "embedding").limit(QUERY_BLOCK + 1).collect()
-    if len(asked) > QUERY_BLOCK:
-        raise ValueError(f"at most {QUERY_BLOCK} query vectors at a time; split the queries")
+    ids, kind, m = _matrix(queries, query_key)
     kinds = dict(queries.select(query_key).dtypes) | dict(vectors.select(key).dtypes)
     schema = f"q {kinds[query_key]}, key {kinds[key]}, dense double"
-    if not asked:
-        return vectors.sparkSession.createDataFrame([], schema).select(F.col("q").alias(query_key), F.col("key").alias(key), "dense")
-    asked.sort(key=lambda r: r[0])
-    m = np.array([r["embedding"] for r in asked], np.float64)
-    kind = to_arrow_type(queries.schema[query_key].dataType)
-    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-    rows = vectors.select(F.col(key).alias("key"), "embedding").mapInArrow(lambda it: _products(it, [r[0] for r in asked], kind, m, keep), schema)
+    rows = vectors.select(F.col(key).alias("key"), "embedding")
+    rows = rows.mapInArrow(lambda it: _products(it, ids, kind, m, keep), schema) if ids else vectors.sparkSession.createDataFrame([], schema)
     return rows.select(F.col("q").alias(query_key), F.col("key").alias(key), "dense")
 
 
+def dense_moments(queries: DataFrame, vectors: DataFrame, query_key: str = "query_id") -> DataFrame:
+    """(query_key, mean, dev) of the cosines with all vectors: each task sends three sums a query, no pairs."""
+    ids, kind, m = _matrix(queries, query_key)
+    schema = f"q {dict(queries.dtypes)[query_key]}, n bigint, s1 double, s2 double"
+    rows = vectors.select("embedding").mapInArrow(lambda it: _sums(it, ids, kind, m), schema) if ids else vectors.sparkSession.createDataFrame([], schema)
+    g = rows.groupBy("q").agg((F.sum("s1") / F.sum("n")).alias("mean"), (F.sum("s2") / F.sum("n")).alias("square"))
+    return g.select(F.col("q").alias(query_key), "mean", F.sqrt(F.greatest(F.lit(0.0), F.col("square") - F.col("mean") * F.col("mean"))).alias("dev"))
+
+
+def dense_of(pairs: DataFrame, queries: DataFrame, vectors: DataFrame, query_key: str = "query_id", key: str = "id") -> DataFrame:
+    """(query_key, key, dense) of the given pairs alone."""
+    asked = queries.select(query_key, normalised(F.col("embedding")).alias("_q"))
+    rows = vectors.join(F.broadcast(pairs.select(query_key, key)), key).join(F.broadcast(asked), query_key)
+    return rows.select(query_key, key, F.aggregate(F.zip_with(normalised(F.col("embedding")), "_q", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x).alias("dense"))
+
+
 def inverted_file(vectors: DataFrame, cells: int = 64, key: str = "id", seed: int = 42, sample: int = 20_000) -> tuple[DataFrame, np.ndarray]:
     """(key, embedding, cell) of every vector, and the centroids: fitted on a bounded sample, every vector is indexed."""
     part = vectors.orderBy(F.xxhash64(key, F.lit(seed))).limit(sample).select("embedding").collect()

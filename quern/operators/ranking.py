@@ -39,13 +39,17 @@ def hybrid(bm25: DataFrame, dense: DataFrame, corpus: DataFrame, k: int = 15, al
     dense score alone, so the k best of those that `dense` (all pairs, or at
     least each query's best) gives are enough next to the lexical list.
     """
-    n = corpus.agg(F.count("*").alias("n"))
     lexical = top(bm25, 3 * k, "bm25", query_key, key).select(query_key, key, "bm25")
-    lex_stats = z_columns(lexical, "bm25", n, query_key).select(query_key, F.col("mean").alias("lm"), F.col("dev").alias("ls"))
-    den_stats = z_columns(dense, "dense", None, query_key).select(query_key, F.col("mean").alias("dm"), F.col("dev").alias("ds"))
     best = top(dense, 4 * k, "dense", query_key, key).select(query_key, key, "dense")
     listed = dense.join(F.broadcast(lexical.select(query_key, key)), [query_key, key])
-    rows = best.union(listed).distinct().join(lexical, [query_key, key], "left").join(den_stats, query_key).join(lex_stats, query_key, "left")
+    return fuse(lexical, best.union(listed).distinct(), z_columns(dense, "dense", None, query_key), corpus.agg(F.count("*").alias("n")), k, alpha, query_key, key)
+
+
+def fuse(lexical: DataFrame, candidates: DataFrame, moments: DataFrame, n: DataFrame, k: int, alpha: float = 0.5, query_key: str = "query_id", key: str = "id") -> DataFrame:
+    """The last step of `hybrid`: `lexical` holds each query's 3k best, `candidates` (query_key, key, dense) those and each query's dense best, `moments` (query_key, mean, dev) of all dense scores, `n` the corpus size."""
+    lex_stats = z_columns(lexical, "bm25", n, query_key).select(query_key, F.col("mean").alias("lm"), F.col("dev").alias("ls"))
+    den_stats = moments.select(query_key, F.col("mean").alias("dm"), F.col("dev").alias("ds"))
+    rows = candidates.join(lexical, [query_key, key], "left").join(den_stats, query_key).join(lex_stats, query_key, "left")
     score = alpha * z(F.coalesce("bm25", F.lit(0.0)), F.col("lm"), F.col("ls")) + (1 - alpha) * z(F.col("dense"), F.col("dm"), F.col("ds"))
     rows = rows.select(query_key, key, F.coalesce("bm25", F.lit(0.0)).alias("bm25"), "dense", F.round(score, 9).alias("hybrid"))
     return top(rows, k, "hybrid", query_key, key)

@@ -9,6 +9,7 @@ from quern.functions.text import terms
 from quern.operators import dense as dn
 from quern.operators import lexical as lx
 from quern.operators import ranking as rk
+from quern.plans.session import cut_lineage
 
 MODEL, DIM = "lark-embed-m", 64
 STOP = ("the", "and", "for", "can", "our", "you", "how", "what", "which", "when", "where", "with", "should", "any", "more", "has", "was", "are")
@@ -60,22 +61,24 @@ def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
     return lx.top(_bm25(spark, folder), 10, "bm25").select("query_id", "id", F.round("bm25", 6).alias("bm25"), "rank")
 
 
-def _dense(spark: SparkSession, folder: str) -> DataFrame:
-    return dn.dense_scores(query_vectors(spark, folder), vectors(spark, folder)).withColumn("dense", F.round("dense", 9))
-
-
 def dense_topk(spark: SparkSession, folder: str) -> DataFrame:
     best = dn.dense_scores(query_vectors(spark, folder), vectors(spark, folder), keep=64).withColumn("dense", F.round("dense", 9))
     return lx.top(best, 10, "dense").select("query_id", "id", F.round("dense", 6).alias("dense"), "rank")
 
 
 def dense_moments(spark: SparkSession, folder: str) -> DataFrame:
-    return rk.z_columns(_dense(spark, folder), "dense").select("query_id", F.round("mean", 6).alias("mean"), F.round("dev", 6).alias("dev"))
+    return dn.dense_moments(query_vectors(spark, folder), vectors(spark, folder)).select("query_id", F.round("mean", 6).alias("mean"), F.round("dev", 6).alias("dev"))
 
 
 def _hybrid(spark: SparkSession, folder: str, k: int = 15) -> DataFrame:
-    asked = query_vectors(spark, folder).select("query_id")
-    return rk.hybrid(_bm25(spark, folder).join(asked, "query_id", "left_semi"), _dense(spark, folder), vectors(spark, folder).select("id"), k)
+    stored = vectors(spark, folder)
+    asked = cut_lineage(query_vectors(spark, folder))
+    lexical = lx.bm25(questions(spark, folder).join(asked.select("query_id"), "query_id", "left_semi"), corpus(spark, folder)).withColumn("bm25", F.round("bm25", 9))
+    lexical = cut_lineage(lx.top(lexical, 3 * k, "bm25").select("query_id", "id", "bm25"))
+    best = dn.dense_scores(asked, stored, keep=4 * k).withColumn("dense", F.round("dense", 9))
+    listed = dn.dense_of(lexical, asked, stored).withColumn("dense", F.round("dense", 9))
+    candidates = lx.top(best, 4 * k, "dense").select("query_id", "id", "dense").join(lexical.select("query_id", "id"), ["query_id", "id"], "left_anti").union(listed)
+    return rk.fuse(lexical, candidates, dn.dense_moments(asked, stored), stored.agg(F.count("*").alias("n")), k)
 
 
 def hybrid_topk(spark: SparkSession, folder: str) -> DataFrame:
