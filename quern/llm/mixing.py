@@ -105,7 +105,10 @@ def source_shares(df: DataFrame, targets: DataFrame, key: str = "doc_id", text:
     Sources are compared trimmed and in lower case; null sources of documents
     match none; a null weight counts as 0 and null max_repeats as 1.
     """
-    _, listed = _measured(df, targets, key, text, source, seed)
+    return _budgets(df, _measured(df, targets, key, text, source, seed)[1])
+
+
+def _budgets(df: DataFrame, listed: list[dict]) -> DataFrame:
     rows = [(r["name"], float(r["weight"]), r["most"], r["documents"], int(r["own"]), float(r["asked"]), bool(r["short"])) for r in listed]
     return df.sparkSession.createDataFrame(rows, "source string, weight double, max_repeats int, documents bigint, own_tokens bigint, target_tokens double, short boolean")
 
@@ -118,7 +121,10 @@ def mix(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "tex
     Rows that repeat a key are documents of their own. Other columns are
     ignored; empty tables give no rows.
     """
-    sized, listed = _measured(df, targets, key, text, source, seed)
+    return _mixed(*_measured(df, targets, key, text, source, seed), seed).withColumnRenamed("id", key)
+
+
+def _mixed(sized: DataFrame, listed: list[dict], seed: int) -> DataFrame:
     first = {}
     for r in listed:
         if r["source"] is not None:
@@ -151,7 +157,7 @@ def mix(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "tex
         takes[name] = (r["whole"], share[name], counts)
     kind = sized.schema["id"].dataType.simpleString()
     chosen = ordinals(sized.withColumn("order", F.xxhash64("id", F.lit(seed + 1))), ["source", "tokens"], "order")
-    return chosen.mapInArrow(lambda it: _choose(it, takes), f"id {kind}, source string, tokens bigint, copies int").withColumnRenamed("id", key)
+    return chosen.mapInArrow(lambda it: _choose(it, takes), f"id {kind}, source string, tokens bigint, copies int")
 
 
 def reached_shares(mixture: DataFrame) -> DataFrame:
@@ -159,3 +165,13 @@ def reached_shares(mixture: DataFrame) -> DataFrame:
     own = mixture.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"))
     total = own.agg(F.sum("tokens").alias("total"))
     return own.crossJoin(F.broadcast(total)).select("source", "tokens", (F.col("tokens") / F.col("total")).alias("share"))
+
+
+def mixture_report(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17) -> DataFrame:
+    """(source, weight, max_repeats, documents, own_tokens, target_tokens, short, reached_tokens, share): the budgets of `source_shares` beside what each listed source contributes to the mixture of `mix`. `share` is null for an empty mixture."""
+    sized, listed = _measured(df, targets, key, text, source, seed)
+    reached = _mixed(sized, listed, seed).groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("reached_tokens")).withColumnRenamed("source", "_s")
+    rows = _budgets(df, listed)
+    rows = rows.join(reached, F.lower(F.regexp_replace("source", r"(?U)^\s+|\s+$", "")) == F.col("_s"), "left").drop("_s").withColumn("reached_tokens", F.coalesce("reached_tokens", F.lit(0)))
+    total = rows.agg(F.sum("reached_tokens").alias("_total"))
+    return rows.crossJoin(F.broadcast(total)).withColumn("share", F.try_divide("reached_tokens", "_total")).drop("_total")

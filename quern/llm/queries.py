@@ -77,12 +77,12 @@ def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
-    """The share each source really reaches."""
-    return mixing.reached_shares(p7_mixture(spark, folder))
+    """Per listed source its budget and the share it really reaches."""
+    return mixing.mixture_report(_read(spark, folder, "documents"), _read(spark, folder, "mix_targets"))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.source_shares(_read(spark, folder, "documents"), _read(spark, folder, "mix_targets")).where("short").select("source").distinct()
+    return p7_shares(spark, folder).where("short and reached_tokens < target_tokens").select("source").distinct()
 
 
 def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:

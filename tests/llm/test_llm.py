@@ -298,6 +298,8 @@ def test_mixture(spark):
     for k in ("forum", "wiki", "small"):
         goal = most[k] * shares[k].own_tokens if shares[k].short else shares[k].target_tokens
         assert abs(reached[k] - goal) <= 1
+    report = {r.source: r for r in mixing.mixture_report(df, targets).collect()}
+    assert {k: r.reached_tokens for k, r in report.items()} == reached | {"absent": 0} and abs(sum(r.share for r in report.values()) - 1) < 1e-9
     got = {r.source: r.share for r in mixing.reached_shares(mixing.mix(df, targets)).collect()}
     assert abs(sum(got.values()) - 1) < 1e-9
     assert mixing.mix(df.limit(0), targets).count() == 0 and mixing.mix(df, targets.limit(0)).count() == 0
