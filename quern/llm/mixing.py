@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.sizes import ordinals, token_count
+from quern.plans.session import cut_lineage
 
 #: Documents longer than this are drawn by their hash alone and their sum is measured; shorter ones are counted by exact length.
 LONG = 8192
@@ -87,6 +88,7 @@ def _measured(df: DataFrame, targets: DataFrame, key: str, text: str, source: st
     sized = df.select(F.col(key).alias("id"), F.lower(F.regexp_replace(F.col(source), r"(?U)^\s+|\s+$", "")).alias("source"), token_count(F.col(text)).alias("tokens"))
     names = sorted({r["source"] for r in listed if r["source"] is not None})
     sized = sized.where(F.col("source").isin(names) if names else F.lit(False)).withColumn("draw", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30)))
+    sized = cut_lineage(sized)  # the texts are read and counted once
     own = {r["source"]: (r["t"], r["n"]) for r in sized.groupBy("source").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).collect()}
     total = sum(t for t, _ in own.values())
     for r in listed:
