@@ -80,6 +80,28 @@ def test_a_large_family_is_one_class(spark):
     assert found_classes(got) == {frozenset(k for k, _ in rows)}
 
 
+@pytest.mark.parametrize("length, changed, copies, block", [(152, 14, 1000, 2048), (62, 6, 300, 64)])
+def test_copies_that_are_only_like_their_original(spark, monkeypatch, length, changed, copies, block):
+    monkeypatch.setattr(nearduplicates, "BLOCK", block)
+    rng = random.Random(21)
+    base = [f"b{i}" for i in range(length)]
+    texts = {"original": " ".join(base)}
+    for k in range(copies):
+        t = list(base)
+        for at in rng.sample(range(length), changed):
+            t[at] = f"x{k}n{at}"
+        texts[f"copy{k:04d}"] = " ".join(t)
+    names, sets = list(texts), [grams(t, 3) for t in texts.values()]
+    place = {g: i for i, g in enumerate(sorted(set().union(*sets)))}
+    held = np.zeros((len(sets), len(place)), np.float32)
+    for i, s in enumerate(sets):
+        held[i, [place[g] for g in s]] = 1
+    shared, n = held @ held.T, held.sum(axis=1)
+    truth = 2 * shared >= n[:, None] + n - shared
+    got = {r.id: r.links for r in nearduplicates.near_duplicates(spark.createDataFrame(list(texts.items()), "id string, text string"), words=3, threshold=0.5).collect()}
+    assert got == dict(zip(names, (truth.sum(axis=1) - 1).tolist())) and got["original"] > 0.9 * copies
+
+
 def test_near_duplicates_of_nothing(spark):
     empty = spark.createDataFrame([], "id string, text string")
     assert nearduplicates.near_duplicates(empty).count() == 0
