@@ -25,7 +25,7 @@ from quern.functions.batches import flat_list, list_column
 #: Vectors, over all models, from which centroids are fitted.
 SAMPLE = 20_000
 #: Vectors a cell should hold per centroid, and the most centroids of a model.
-CELL, MOST_CELLS = 400, 2048
+CELL, MOST_CELLS = 1600, 2048
 #: Most rows of one side of a block.
 BLOCK = 8192
 TILE = 1024
@@ -173,4 +173,4 @@ def most_similar(df: DataFrame, dims: dict[str, int], k: int = 5, floor: float =
         return vectors.select(F.col("vec_id").alias("a"), F.col("vec_id").alias("b"), F.lit(0.0).alias("cosine"), F.lit(1).alias("rank")).limit(0)
     cells = vectors.mapInArrow(lambda it: _assign(it, fitted, probes), "m int, cell int, low int, high int, mine int, vec_id bigint, v array<float>")
     found = cells.groupBy("m", "cell", "low", "high").applyInArrow(lambda t: _join_block(t, k, floor), "a bigint, b bigint, cosine double")
-    return found.groupBy("a", "b").agg(F.max("cosine").alias("cosine")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return found.repartition("a").groupBy("a", "b").agg(F.max("cosine").alias("cosine")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -36,12 +36,12 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    """For every usable vector its five most similar ones, as far as their cosine is 0.9 or more."""
-    return neighbours.most_similar(_read(spark, folder, "embedding_responses"), DIMS, k=5, floor=0.9)
+    """For every usable vector its five most similar ones."""
+    return neighbours.most_similar(_read(spark, folder, "embedding_responses"), DIMS, k=5)
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p3_neighbours(spark, folder).select(F.least("a", "b").alias("vec_a"), F.greatest("a", "b").alias("vec_b")).distinct()
+    return p3_neighbours(spark, folder).where(F.col("cosine") >= 0.9 - 1e-9).select(F.least("a", "b").alias("vec_a"), F.greatest("a", "b").alias("vec_b")).distinct()
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
