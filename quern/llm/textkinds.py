@@ -9,6 +9,7 @@ labels are summed by their share of the characters.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("prose", "list", "table", "junk")
-#: Texts from which the letter model is fitted, and the characters of each that it reads.
-SAMPLE, SAMPLE_CHARS = 2_000, 4_000
+#: Steps of a score of letter pairs by which the median over all texts is found.
+STEPS = 2_048
+#: Letter pairs that a text weighs at most, all of its pairs in proportion, so that no single text is the yardstick; in whole parts, for sums that no order changes.
+WEIGHT, PARTS = 4_000, 1 << 20
 #: log P(next line's kind | kind): runs of one kind are likely, table rows most of all.
 STAY = {"prose": 0.80, "list": 0.86, "table": 0.90, "junk": 0.86}
 
@@ -33,28 +36,73 @@ _DIRT = re.compile(r"[A-Za-z][#~0-9]+(?=[A-Za-z])|[#~][A-Za-z]|[A-Za-z][#~]|\s[.
 _FOLD = str.maketrans("àáâãäåçèéêëìíîïñòóôõöùúûüýÿœæß", "aaaaaaceeeeiiiinooooouuuuyyoas")
 
 
+_CODES = np.array([ord(c) - 96 if "a" <= c <= "z" else 27 if ord(c) > 127 else 0 for c in (chr(i).translate(_FOLD) for i in range(512))])
+
+
+def _plain(text: str | None) -> str:
+    return (text or "").replace("\ufeff", "").replace("\r\n", "\n").replace("\r", "\n")
+
+
 class Letters:
-    """Mean log-probability of letter pairs inside words."""
+    """Mean log-probability of letter pairs inside words, from their counts in all texts, and the median text's (`usual`)."""
 
-    def __init__(self, texts: list[str]) -> None:
-        counts = np.full((28, 28), 5.0)  # weighs little beside a full sample, and keeps a handful of texts from being a yardstick
-        for text in texts:
-            codes = self.codes(text)
-            np.add.at(counts, (codes[:-1], codes[1:]), 1)
+    def __init__(self, counts: np.ndarray) -> None:
+        counts = counts + 5.0  # weighs little beside many texts, and keeps a handful of texts from being a yardstick
         self.logp = np.log(counts / counts.sum(axis=1, keepdims=True))
-        scores = [self.score(t) for t in texts if len(t) > 40]
-        self.usual = float(np.median(scores)) if scores else -3.0
+        self.usual = -3.0
 
     @staticmethod
     def codes(text: str) -> np.ndarray:
         """0 for what is no letter, 1 to 26 for a to z, 27 for other letters."""
-        raw = np.frombuffer(text.lower().translate(_FOLD).encode("utf-32-le"), np.uint32)
-        out = np.where((raw >= 97) & (raw <= 122), raw - 96, np.where(raw > 127, 27, 0))
+        out = _CODES[np.minimum(np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32), 511)]
         return out[(out > 0) | (np.concatenate([[1], out[:-1]]) > 0)]
 
+    @staticmethod
+    def pairs(text: str) -> np.ndarray:
+        """Counts of all letter pairs of the text in PARTS, brought to a sum of WEIGHT where they are more."""
+        codes = Letters.codes(text)
+        counts = np.bincount(codes[:-1] * 28 + codes[1:], minlength=784)
+        return np.rint(counts * (PARTS * min(1.0, WEIGHT / max(1, len(codes) - 1)))).astype(np.int64)
+
     def score(self, text: str) -> float:
         codes = self.codes(text)
-        return float(self.logp[codes[:-1], codes[1:]].mean()) if len(codes) > 3 else self.usual if hasattr(self, "usual") else -3.0
+        return float(self.logp[codes[:-1], codes[1:]].mean()) if len(codes) > 3 else self.usual
+
+
+def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(784, np.int64)
+    for batch in batches:
+        for text in batch.column("t").to_pylist():
+            total += Letters.pairs(_plain(text))
+    yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], ["k", "n"])
+
+
+def _score_counts(batches: Iterator[pa.RecordBatch], letters: Letters) -> Iterator[pa.RecordBatch]:
+    steps: Counter[int] = Counter()
+    for batch in batches:
+        steps.update(round(letters.score(x) * STEPS) for x in map(_plain, batch.column("t").to_pylist()) if len(x) > 40)
+    yield pa.RecordBatch.from_arrays([pa.array(list(steps), pa.int64()), pa.array(list(steps.values()), pa.int64())], ["k", "n"])
+
+
+def letter_model(data: DataFrame) -> Letters:
+    """The letter model of all whole texts t; `usual` to 1 / STEPS. At most 784 sums and a histogram reach the driver."""
+    data = data.where("t is not null").select("t")
+    summed = lambda f: data.mapInArrow(f, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).orderBy("k").collect()
+    counts = np.zeros(784)
+    for r in summed(_pair_counts):
+        counts[r["k"]] = r["n"] / PARTS
+    letters = Letters(counts.reshape(28, 28))
+    rows = summed(lambda it: _score_counts(it, letters))
+    if rows:
+        until = np.cumsum([r["n"] for r in rows])
+        middle = [rows[int(np.searchsorted(until, i, side="right"))]["k"] for i in ((until[-1] - 1) // 2, until[-1] // 2)]
+        letters.usual = sum(middle) / 2 / STEPS
+    return letters
+
+
+def _dirty(line: str, n: int) -> bool:
+    """More than 0.3 n places with marks or digits inside the words; each holds one of the counted characters."""
+    return sum(map(line.count, "#~|.,;0123456789")) > 0.3 * n and len(_DIRT.findall(line)) > 0.3 * n
 
 
 def fields_of(line: str) -> int:
@@ -105,19 +153,17 @@ def line_scores(line: str, words: list[str], alpha: int, solid: int, frequent: i
         junk += 5.0
         prose -= 2.0
         listed -= 2.0
-    if share >= 0.22 and n >= 6:
-        return prose, listed, table, junk  # words of a language: no need to look for rubble
     if _SCRAP.match(line.strip()):
         junk += 5.0
         listed -= 2.0
-    if n >= 6 and len(_DIRT.findall(line)) > 0.3 * n:  # marks and digits inside the words
+    if n >= 6 and _dirty(line, n):  # marks and digits inside the words
         junk += 8.0
         prose -= 2.0
         table -= 3.0
-    if _RULE.match(line):
+    if "{" in line and _RULE.match(line):
         junk += 6.0
         table -= 4.0
-    if _CODE.search(line) and share < 0.15:
+    if share < 0.15 and _CODE.search(line):
         junk += 3.5
         listed -= 1.0
         table -= 2.0
@@ -170,7 +216,7 @@ def _statistics(batches: Iterator[pa.RecordBatch], common: frozenset[str], lette
         texts = batch.column("t").to_pylist()
         rows, scores, weights, numbers, over = [], [], [], [], []
         for i, text in enumerate(texts):
-            text = (text or "").replace("﻿", "").replace("\r\n", "\n").replace("\r", "\n")
+            text = _plain(text)
             lines = [x for x in text.split("\n") if x.strip()]
             own = [_WORD.findall(x.lower()) for x in lines]
             alphas = [sum(map(len, w)) for w in own]
@@ -213,10 +259,7 @@ def text_statistics(df: DataFrame, common: DataFrame, key: str = "doc_id", text:
         raise ValueError("common words are meant to be a short list")
     known = frozenset(rows)
     data = df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("t"))
-    total = data.count()
-    part = max(1, min(1 << 20, int((1 << 20) * 0.8 * SAMPLE / max(1, total))))
-    chosen = data.where("t is not null").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < part).select(F.left("t", F.lit(SAMPLE_CHARS)).alias("t")).limit(SAMPLE).collect()
-    letters = Letters(sorted(r[0] for r in chosen))
+    letters = letter_model(data)
     kind = data.schema["id"].dataType.simpleString()
     shares = ", ".join(f"`{k}` double" for k in KINDS)
     return data.mapInArrow(lambda it: _statistics(it, known, letters), f"id {kind}, words bigint, mean_word double, symbols double, ended_lines double, common double, {shares}, kind string").withColumnRenamed("id", key)
