@@ -32,7 +32,8 @@ def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p2_pieces(spark, folder).where("boundary is not null and piece_no = 0").select("id", "boundary").distinct()
+    """Chunks that had to be cut, by the cuts of their pieces."""
+    return p2_pieces(spark, folder).where("piece_no = 0 and cut <> 'end'").select("id", "boundary").distinct()
 
 
 def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
