@@ -13,7 +13,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,7 +37,15 @@ unfortunately nothing in the knowledge base covers * please contact support
 sorry no answer could be found for your question
 i would rather not answer this
 that is outside of what i can discuss
-as an assistant i'm not able to respond to that""",
+as an assistant i'm not able to respond to that
+we are not in a position to comment on *
+that question falls outside the material available to me
+this is not covered by the documents i have
+i could not find anything about *
+there is no information about * in the sources
+i am not able to help with this request
+the documentation does not say
+i have no answer to that""",
     "de": """das weiß ich leider nicht
 das weiß ich nicht
 ich weiß es nicht
@@ -46,20 +54,57 @@ diese frage kann ich anhand der artikel nicht beantworten
 diese frage kann ich leider nicht beantworten
 es tut mir leid dabei kann ich nicht helfen
 dazu kann ich leider nichts sagen
-darüber habe ich keine informationen""",
+darüber habe ich keine informationen
+dazu habe ich keine informationen
+ich kann diese frage nicht beantworten
+leider konnte ich keine antwort auf ihre frage finden
+die artikel enthalten nichts zu diesem thema
+das liegt außerhalb dessen was ich beantworten kann
+ich möchte diese frage lieber nicht beantworten""",
     "fr": """je ne sais pas
 je n'ai pas assez d'éléments pour vous répondre
 je suis désolé je ne peux pas répondre à cette question
 je ne peux pas répondre à cette question
 les articles ne contiennent rien à ce sujet
 je n'ai aucune information à ce sujet
-désolé je ne peux pas vous aider""",
+désolé je ne peux pas vous aider
+je n'ai pas d'informations sur *
+je ne suis pas en mesure de répondre à cette question
+je n'ai trouvé aucune réponse à votre question
+la documentation ne précise pas ce point
+je préfère ne pas répondre à cette question""",
     "es": """no lo sé
 no tengo información suficiente para responder a esta pregunta
 lo siento no puedo ayudar con eso
 los artículos no dicen nada sobre este tema
 no puedo responder a esta pregunta
-no tengo información sobre *""",
+no tengo información sobre *
+no estoy en condiciones de responder a esta pregunta
+no he encontrado ninguna respuesta a su pregunta
+la documentación no dice nada al respecto
+prefiero no responder a esta pregunta
+lo siento no lo sé""",
+    "it": """non lo so
+mi dispiace non posso aiutarti con questo
+non ho abbastanza informazioni per rispondere a questa domanda
+non posso rispondere a questa domanda
+non ho informazioni su *
+gli articoli non dicono nulla su questo argomento""",
+    "pt": """não sei
+lamento mas não posso ajudar com isso
+não tenho informação suficiente para responder a esta pergunta
+não posso responder a esta pergunta
+os artigos não dizem nada sobre este tema""",
+    "nl": """dat weet ik niet
+het spijt me daar kan ik niet mee helpen
+ik heb niet genoeg informatie om deze vraag te beantwoorden
+ik kan deze vraag niet beantwoorden
+de artikelen zeggen hier niets over""",
+    "pl": """nie wiem
+przykro mi nie mogę w tym pomóc
+nie mam wystarczających informacji aby odpowiedzieć na to pytanie
+nie mogę odpowiedzieć na to pytanie
+artykuły nic o tym nie mówią""",
 }
 # Sentences of courtesy around an answer, in all languages.
 COURTESY = """hi there
@@ -104,6 +149,10 @@ FREQUENT = {
     "de": "der die das den dem des ein eine einen einem einer und ist sind war im in auf für mit dass es sie ihr ihre ihren kann können wie wo was warum wenn ich wir unser unsere von bei als nicht oder zu zum zur nach wird werden noch aus um darf man",
     "fr": "le la les un une des et est sont était dans sur pour avec que ce cette il elle vous votre peut comment où quoi pourquoi quand si je nous notre par du de au aux en ne pas ou plus est-ce qui se puis-je",
     "es": "el la los las un una y es son era en para con que este esta se usted su puede cómo dónde qué por cuando si yo nosotros nuestro nuestra del de al no o más ya lo",
+    "it": "il gli della delle degli di che sono nel nella questo quello come perché non anche dei alla alle dal può puoi quando dove essere ogni loro suo",
+    "pt": "o a os as um uma e é são em no na dos das do da para com que não seu sua você pode quando onde isso este esta pelo pela também ao",
+    "nl": "de het een en van is zijn op te dat niet voor met deze wordt worden kunt je u uw naar ook aan bij als maar door hoe waar wanneer",
+    "pl": "i w na do się jest nie to że z jak po dla od może są lub oraz przez ten ta co gdzie kiedy aby można pan czy jego",
 }
 # Names of the languages in each other.
 NAMES = {
@@ -111,6 +160,10 @@ NAMES = {
     "de": "german deutsch allemand alemán",
     "fr": "french französisch français francés",
     "es": "spanish spanisch espagnol español",
+    "it": "italian italienisch italien italiano",
+    "pt": "portuguese portugiesisch portugais portugués português",
+    "nl": "dutch niederländisch néerlandais neerlandés nederlands",
+    "pl": "polish polnisch polonais polaco polski",
 }
 DEFECTS = ("empty", "refusal", "echo", "truncated", "language")
 
@@ -119,6 +172,7 @@ _LABEL = re.compile(r"^\s*(?:\*\*|__)?(?:answer|antwort|réponse|respuesta)\s*:?
 _CITED = re.compile(r"\s*\[[A-Za-z0-9_\-, ]+\]\s*$")
 _INVISIBLE = re.compile(r"[​-‏⁠﻿­]")
 _ENVELOPE = re.compile(r'^\s*\{\s*"answer"\s*:\s*')
+_SENTENCE = re.compile(r"[.!?。…\n]+")
 _END = re.compile(r"""[.!?。…][)\]}"'”’»`*_]*$""")
 
 
@@ -131,16 +185,17 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(folded(text).replace("'", ""))
 
 
-def longest_common(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            above = row[j]
-            row[j] = before + 1 if x == y else max(above, row[j - 1])
-            before = above
-    return row[-1]
+def longest_common(a: Sequence[str], b: Sequence[str]) -> int:
+    """Length of the longest common subsequence; a row of the table is the bits of one number, so a step takes a whole row."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    row = whole = (1 << len(a)) - 1
+    for y in b:
+        if held := places.get(y):
+            hit = row & held
+            row = (row + hit | row - hit) & whole
+    return len(a) - row.bit_count()
 
 
 def unwrap(answer: str) -> tuple[str, bool]:
@@ -164,18 +219,19 @@ def unwrap(answer: str) -> tuple[str, bool]:
     return _LABEL.sub("", text.replace("\\n", "\n").replace("\\t", "\t")).strip(), broken
 
 
-def _templates() -> list[tuple[list[str], int]]:
-    out = []
-    for lines in REFUSALS.values():
-        for line in lines.split("\n"):
-            out.append((tokens(line), 5 * line.count("*")))
-    return out
+def _templates() -> list[tuple[list[str], int, set[str]]]:
+    lines = [line for block in REFUSALS.values() for line in block.split("\n")]
+    return [(tokens(x), 5 * x.count("*"), set(tokens(x))) for x in lines]
 
 
 TEMPLATES = _templates()
+#: Words that one template can cover at most, give or take two.
+LONGEST = max(len(t) + room for t, room, _ in TEMPLATES) + 2
 _COURTESY = sorted((tokens(x) for x in COURTESY.split("\n")), key=len, reverse=True)
 _LEADS = sorted({tuple(tokens(x)) for x in LEADS.split("\n")}, key=len, reverse=True)
-_FREQUENT = {k: {t for w in v.split() for t in tokens(w)} for k, v in FREQUENT.items()}
+_FREQUENT: dict[str, set[str]] = {}
+for _k, _v in FREQUENT.items():  # a word counts for the first language that lists it among those after the fourth
+    _FREQUENT[_k] = {t for w in _v.split() for t in tokens(w)} - (set().union(*_FREQUENT.values()) if len(_FREQUENT) >= 4 else set())
 _NAMES = {t: k for k, v in NAMES.items() for t in tokens(v)}
 
 
@@ -186,43 +242,76 @@ def _without(words: list[str], starts: list) -> list[str]:
     return words
 
 
-def refuses(words: list[str]) -> bool:
-    """Whether refusal templates cover the whole of it, courtesy aside."""
-    words = _without(words, _COURTESY)
-    if not words or len(words) > 60:
-        return False
+def _candidates(words: Sequence[str]) -> list[tuple[list[str], int]]:
+    """The templates most of whose words occur at all."""
     have = set(words)
-    for template, room in TEMPLATES:
-        if len(have.intersection(template)) < 0.85 * len(set(template)):
-            continue
-        same = longest_common(template, words)
-        rest = len(words) - same
-        if same >= 0.85 * len(template) and (rest <= room + 2 or refuses_rest(words, template, room)):
-            return True
-    return False
+    return [(t, room) for t, room, own in TEMPLATES if len(have & own) >= 0.85 * len(own)]
 
 
-def refuses_rest(words: list[str], template: list[str], room: int) -> bool:
-    """Whether the words before or after a template found in one stretch refuse as well."""
-    reach = len(template) + room
-    for at in (0, len(words) - reach):
-        part = words[max(0, at) : max(0, at) + reach]
-        if longest_common(template, part) >= 0.85 * len(template):
-            other = words[reach:] if at == 0 else words[: max(0, at)]
-            if len(other) >= 2 and refuses(other):
+def _covered(words: Sequence[str], templates: list[tuple[list[str], int]]) -> bool:
+    """Whether one template aligns with the whole of it, give or take two words."""
+    for template, room in templates:
+        if len(words) <= len(template) + room + 2 and 0.85 * len(template) <= len(words):
+            same = longest_common(template, words)
+            if same >= 0.85 * len(template) and len(words) - same <= room + 2:
                 return True
     return False
 
 
+def _reach(words: list[str], templates: list[tuple[list[str], int]]) -> set[int]:
+    """Places up to which templates, one behind the other, cover the words."""
+    reached, todo = {0}, [0]
+    while todo:
+        i = todo.pop()
+        for template, room in templates:
+            j = i + len(template) + room
+            if j <= len(words) and j not in reached and longest_common(template, words[i:j]) >= 0.85 * len(template):
+                reached.add(j)
+                todo.append(j)
+    return reached
+
+
+def refuses(words: list[str]) -> bool:
+    """Whether refusal templates, one behind the other, cover the whole of it, courtesy aside.
+
+    Templates are taken off from both ends as far as they align; what is left
+    in the middle must be one template, give or take two words.
+    """
+    words = _without(words, _COURTESY)
+    if not words:
+        return False
+    templates = _candidates(words)
+    if not templates or _covered(words, templates):
+        return bool(templates)
+    heads = _reach(words, templates)
+    tails = {len(words) - j for j in _reach(words[::-1], [(t[::-1], room) for t, room in templates])}
+    return len(heads) + len(tails) > 2 and any(j in tails and _covered(words[i:j], templates) for i in heads for j in range(i + 2, i + LONGEST + 1))
+
+
+def refuses_by_sentence(text: str, words: list[str]) -> bool:
+    """Whether every sentence is a refusal or a courtesy, and one of them a refusal."""
+    templates = _candidates(words)
+    if not templates:
+        return False
+    refused = False
+    for sentence in _SENTENCE.split(text):
+        rest = _without(tokens(sentence), _COURTESY)
+        if rest and not _covered(rest, templates):
+            return False
+        refused = refused or bool(rest)
+    return refused
+
+
 def echoes(question: list[str], words: list[str]) -> bool:
-    """Whether the response is the prompt again, once or more, whatever introduces it."""
+    """Whether the response is the prompt again, once or more, whatever introduces it: stretches of the prompt's length are aligned with it one by one."""
     words = _without(words, _LEADS)
-    if not words or not question or len(words) > 4 * len(question) + 4:
+    if not words or not question:
         return False
     pairs = set(zip(question, question[1:])) or {(question[0],)}
     own = list(zip(words, words[1:])) or [(words[0],)]
     inside = sum(p in pairs for p in own)
-    held = sum(w in set(question) for w in words)
+    known = set(question)
+    held = sum(w in known for w in words)
     if inside < 0.5 * len(own) or held < 0.7 * len(words):
         return False
     size = len(question)
@@ -273,10 +362,10 @@ def defect(question: str | None, answer: str | None) -> str | None:
         return None if re.search(r"[\U0001F300-\U0001FAFF☀-➿]", content) else "empty"
     if " ".join(words) in PLACEHOLDERS:
         return "empty"
-    if len(words) <= 60 and not broken and refuses(words):
+    if not broken and (refuses(words) or refuses_by_sentence(content, words)):
         return "refusal"
     asked = tokens(question or "")
-    if len(words) <= 4 * len(asked) + 4 and echoes(asked, words):
+    if echoes(asked, words):
         return "echo"
     if breaks_off(content, broken):
         return "truncated"

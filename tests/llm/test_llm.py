@@ -234,6 +234,12 @@ def test_hosts(spark):
         ("How do I lock tags?", "Öffnen Sie die Seite und wählen Sie den Eintrag, wenn er noch nicht gesperrt ist.", "language"),
         ("Please answer in German: how do I lock tags?", "Öffnen Sie die Seite und wählen Sie den Eintrag, wenn er noch nicht gesperrt ist.", None),
         (None, "Open the tag page.", None),
+        ("How do I lock tags?", "I don't know. I cannot answer this question. " * 400, "refusal"),
+        ("How do I lock tags?", "i don't know i can't help with that i'm not sure", "refusal"),
+        ("How do I lock tags?", "How do I lock tags? " * 500, "echo"),
+        ("How do I lock tags?", "I don't know. But you can open the tag page and press Lock.", None),
+        ("How do I lock tags?", "Non posso rispondere a questa domanda.", "refusal"),
+        ("How do I lock the tags when the page is open?", "Otwórz stronę i wybierz wpis, który nie jest jeszcze zablokowany, aby można go było zmienić.", "language"),
         (None, None, "empty"),
     ],
 )
@@ -245,7 +251,15 @@ def test_flags(spark):
     df = spark.createDataFrame([(1, "How?", None, True), (1, "How?", None, True), (2, None, "Open the page. " * 20_000, False), (None, "x", "", None)], "response_id bigint, question string, answer string, defect boolean")
     assert sorted((r.response_id or 0, r.defect) for r in pairs.flag_pairs(df).collect()) == [(0, "empty"), (1, "empty"), (1, "empty")]
     assert pairs.flag_pairs(df.limit(0)).count() == 0
-    assert pairs.longest_common(list("abcde"), list("xbxdx")) == 2
+    rng = random.Random(11)
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 12))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0] + [(before + 1) if x == y else max(row[j + 1], 0) for j, (y, before) in enumerate(zip(b, row))]
+            for j in range(1, len(row)):
+                row[j] = max(row[j], row[j - 1])
+        assert pairs.longest_common(a, b) == row[-1]
 
 
 def test_token_rule(spark):
