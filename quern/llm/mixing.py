@@ -7,38 +7,45 @@ are counted by exact token length; the same share of every length is taken,
 rounded down, and what then remains, a bounded number of tokens, is fitted by
 a bounded-knapsack dynamic program over the lengths still free. Within a
 length the documents are chosen by a seeded hash.
+
+Lengths up to LONG are counted one by one. Documents longer than that have
+few equals, so a source's are put in the order of a seeded hash and taken as
+far as their share of the budget goes; those around that point, up to NEAR on
+either side, go into the dynamic program with their exact lengths.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.sizes import ordinals, token_count
+from quern.llm.sizes import ordinals, running, token_count
 from quern.plans.session import cut_lineage
 
-#: Documents longer than this are drawn by their hash alone and their sum is measured; shorter ones are counted by exact length.
+#: Lengths up to this are counted exactly, whatever the number of documents.
 LONG = 8192
-#: Largest rest that the dynamic program fits exactly; larger ones are first brought under it with the longest lengths.
-FIT = 1 << 16
+#: Long documents of a source on either side of its share of the budget that the dynamic program may take or leave.
+NEAR = 64
+#: Largest rest that the dynamic program fits exactly, and the table entries it may look at; larger rests are first brought under it with the longest lengths.
+FIT, WORK = 1 << 16, 1 << 28
+#: Most (source, length) counts that are collected, and most rows of a table that is broadcast.
+MOST_COUNTS, BROADCAST_ROWS = 4_000_000, 200_000
 
 
 def subset_counts(lengths: np.ndarray, free: np.ndarray, target: int) -> np.ndarray:
     """How many of each length to take, at most free, so that the sum comes as close to target from below as it can."""
     taken = np.zeros(len(lengths), np.int64)
     rest = int(target)
+    fit = int(max(FIT, min(1 << 24, WORK // max(1, int(np.log2(free + 1).sum()) + len(free)))))
     for k in range(len(lengths) - 1, -1, -1):
-        if rest <= FIT:
+        if rest <= fit:
             break
-        n = int(min(free[k], (rest - FIT // 2) // lengths[k]))
+        n = int(min(free[k], (rest - fit // 2) // lengths[k]))
         if n > 0:
             taken[k] += n
             rest -= n * int(lengths[k])
-    rest = min(rest, FIT)
+    rest = min(rest, fit)
     if rest <= 0:
         return taken
     reach = np.zeros(rest + 1, bool)
@@ -68,26 +75,13 @@ def subset_counts(lengths: np.ndarray, free: np.ndarray, target: int) -> np.ndar
     return taken
 
 
-def _choose(batches: Iterator[pa.RecordBatch], takes: dict[str, tuple[int, float, dict[int, int]]]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        source, tokens = batch.column("source").to_pylist(), batch.column("tokens").to_pylist()
-        ordinal, draw = batch.column("ordinal").to_pylist(), batch.column("draw").to_pylist()
-        copies = []
-        for s, t, o, u in zip(source, tokens, ordinal, draw):
-            whole, share, counts = takes[s]
-            more = (u < share) if t > LONG else (o < counts.get(t, 0))
-            copies.append(whole + int(more))
-        keep = pa.array([c > 0 for c in copies], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("source"), batch.column("tokens"), pa.array(copies, pa.int32())], ["id", "source", "tokens", "copies"]).filter(keep)
-
-
-def _measured(df: DataFrame, targets: DataFrame, key: str, text: str, source: str, seed: int) -> tuple[DataFrame, list[dict]]:
+def _measured(df: DataFrame, targets: DataFrame, key: str, text: str, source: str) -> tuple[DataFrame, list[dict]]:
     listed = [r.asDict() for r in targets.select(F.col("source").alias("name"), F.lower(F.trim(F.regexp_replace("source", r"(?U)^\s+|\s+$", ""))).alias("source"), F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("max_repeats", F.lit(1)).alias("most")).limit(100_001).collect()]
     if len(listed) > 100_000:
         raise ValueError("mix targets are meant to be a short list")
     sized = df.select(F.col(key).alias("id"), F.lower(F.regexp_replace(F.col(source), r"(?U)^\s+|\s+$", "")).alias("source"), token_count(F.col(text)).alias("tokens"))
     names = sorted({r["source"] for r in listed if r["source"] is not None})
-    sized = sized.where(F.col("source").isin(names) if names else F.lit(False)).withColumn("draw", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30)))
+    sized = sized.where(F.col("source").isin(names) if names else F.lit(False))
     sized = cut_lineage(sized)  # the texts are read and counted once
     own = {r["source"]: (r["t"], r["n"]) for r in sized.groupBy("source").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).collect()}
     total = sum(t for t, _ in own.values())
@@ -100,16 +94,6 @@ def _measured(df: DataFrame, targets: DataFrame, key: str, text: str, source: st
     return sized, listed
 
 
-def source_shares(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17) -> DataFrame:
-    """(source, weight, max_repeats, documents, own_tokens, target_tokens, short): the budgets of the listed sources, `source` as written in `targets`.
-
-    `short`: even max_repeats times its own tokens do not reach the target.
-    Sources are compared trimmed and in lower case; null sources of documents
-    match none; a null weight counts as 0 and null max_repeats as 1.
-    """
-    return _budgets(df, _measured(df, targets, key, text, source, seed)[1])
-
-
 def _budgets(df: DataFrame, listed: list[dict]) -> DataFrame:
     rows = [(r["name"], float(r["weight"]), r["most"], r["documents"], int(r["own"]), float(r["asked"]), bool(r["short"])) for r in listed]
     return df.sparkSession.createDataFrame(rows, "source string, weight double, max_repeats int, documents bigint, own_tokens bigint, target_tokens double, short boolean")
@@ -123,55 +107,92 @@ def mix(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "tex
     Rows that repeat a key are documents of their own. Other columns are
     ignored; empty tables give no rows.
     """
-    return _mixed(*_measured(df, targets, key, text, source, seed), seed).withColumnRenamed("id", key)
+    return _mixed(*_measured(df, targets, key, text, source), seed).withColumnRenamed("id", key)
 
 
 def _mixed(sized: DataFrame, listed: list[dict], seed: int) -> DataFrame:
-    first = {}
+    spark = sized.sparkSession
+    first: dict[str, dict] = {}
     for r in listed:
         if r["source"] is not None:
             first.setdefault(r["source"], r)
-    rest = {}
-    for name, r in first.items():
-        whole = r["most"] if r["short"] else int(min(r["most"], r["asked"] // r["own"])) if r["own"] else 0
-        r["whole"] = whole
-        rest[name] = 0.0 if r["short"] or whole >= r["most"] or not r["own"] else r["asked"] - whole * r["own"]
-    share = {name: (rest[name] / r["own"] if r["own"] else 0.0) for name, r in first.items()}
-    lit = F.create_map(*(F.lit(x) for kv in share.items() for x in kv)) if share else None
+    kind = sized.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, source string, tokens bigint, copies int"
+    if not first:
+        return spark.createDataFrame([], schema)
+    for r in first.values():
+        r["whole"] = r["most"] if r["short"] else int(min(r["most"], r["asked"] // r["own"])) if r["own"] else 0
+        r["rest"] = 0 if r["short"] or r["whole"] >= r["most"] or not r["own"] else round(r["asked"] - r["whole"] * r["own"])
+    short = sized.where((F.col("tokens") > 0) & (F.col("tokens") <= LONG)).groupBy("source", "tokens").agg(F.count("*").alias("n"))
     hist: dict[str, dict[int, int]] = {}
-    drawn: dict[str, int] = {}
-    if lit is not None:
-        for r in sized.where((F.col("tokens") > 0) & (F.col("tokens") <= LONG)).groupBy("source", "tokens").agg(F.count("*").alias("n")).collect():
-            hist.setdefault(r["source"], {})[r["tokens"]] = r["n"]
-        long = sized.where((F.col("tokens") > LONG) & (F.col("draw") < F.element_at(lit, F.col("source"))))
-        drawn = {r["source"]: r["t"] for r in long.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
-    takes = {}
+    for r in _bounded(short, MOST_COUNTS):
+        hist.setdefault(r["source"], {})[r["tokens"]] = r["n"]
+    long = running(sized.where(F.col("tokens") > LONG).withColumn("order", F.xxhash64("id", F.lit(seed))), "source", "tokens", "order")
+    goal = F.element_at(F.create_map(*(F.lit(x) for name, r in first.items() for x in (name, float(r["rest"] / r["own"] if r["own"] else 0.0)))), F.col("source"))
+    long = cut_lineage(long)
+    totals = long.groupBy("source").agg(F.sum("tokens").alias("total"))
+    reach = long.join(F.broadcast(totals), "source").groupBy("source").agg(F.count_if(F.col("sum") <= goal * F.col("total")).alias("m"))
+    reach = {r["source"]: r["m"] for r in reach.collect()}
+    near: dict[str, list] = {}
+    sums: dict[str, int] = {}
+    if reach:
+        middle = F.element_at(F.create_map(*(F.lit(x) for name, m in reach.items() for x in (name, m))), F.col("source"))
+        for r in _bounded(long.where((F.col("place") >= middle - NEAR) & (F.col("place") < middle + NEAR)).select("source", "place", "tokens", "sum"), MOST_COUNTS):
+            near.setdefault(r["source"], []).append((r["place"], r["tokens"], r["sum"]))
+    counts, picked = [], []
     for name, r in first.items():
-        left = max(0, round(rest[name]) - drawn.get(name, 0))
+        around = sorted(near.get(name, []))
+        sums[name] = around[0][2] - around[0][1] if around else 0  # tokens of the documents before them, all taken
         lengths = np.array(sorted(hist.get(name, {})), np.int64)
         free = np.array([hist[name][x] for x in lengths.tolist()], np.int64)
-        counts: dict[int, int] = {}
-        if left and len(lengths):
-            part = min(1.0, left / max(1, int((lengths * free).sum())))
-            base = np.floor(part * free + 1e-9).astype(np.int64)
-            more = subset_counts(lengths, free - base, left - int((base * lengths).sum()))
-            counts = {int(x): int(n) for x, n in zip(lengths, base + more) if n}
-        takes[name] = (r["whole"], share[name], counts)
-    kind = sized.schema["id"].dataType.simpleString()
-    chosen = ordinals(sized.withColumn("order", F.xxhash64("id", F.lit(seed + 1))), ["source", "tokens"], "order")
-    return chosen.mapInArrow(lambda it: _choose(it, takes), f"id {kind}, source string, tokens bigint, copies int")
-
-
-def reached_shares(mixture: DataFrame) -> DataFrame:
-    """(source, tokens, share): what each source contributes to a mixture of `mix`."""
-    own = mixture.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"))
-    total = own.agg(F.sum("tokens").alias("total"))
-    return own.crossJoin(F.broadcast(total)).select("source", "tokens", (F.col("tokens") / F.col("total")).alias("share"))
+        left = r["rest"] - sums[name]
+        if r["rest"] <= 0:
+            picked.append((name, -1))
+            continue
+        part = min(1.0, r["rest"] / r["own"])
+        base = np.floor(part * free + 1e-9).astype(np.int64)
+        left -= int((base * lengths).sum())
+        if left < 0:  # long documents beyond their share by rounding alone
+            base, left = np.zeros_like(base), left + int((base * lengths).sum())
+        sizes = np.array([t for _, t, _ in around], np.int64)
+        every, back = np.unique(np.concatenate([lengths, sizes]), return_inverse=True)
+        room = np.bincount(back, weights=np.concatenate([free - base, np.ones(len(sizes), np.int64)]), minlength=len(every)).astype(np.int64)
+        more = subset_counts(every, room, max(0, left))
+        counts += [(name, int(x), int(n)) for x, n in zip(lengths, base + more[: len(every)][back[: len(lengths)]]) if n] if len(lengths) else []
+        wanted = {int(x): int(n) for x, n in zip(every, more) if x > LONG and n}
+        picked.append((name, around[0][0] if around else 0))
+        for place, tokens, _ in around:
+            if wanted.get(tokens, 0) > 0:
+                wanted[tokens] -= 1
+                picked.append((name, place, True))
+    chosen = ordinals(sized.where(F.col("tokens") <= LONG).withColumn("order", F.xxhash64("id", F.lit(seed + 1))), ["source", "tokens"], "order")
+    table = spark.createDataFrame(counts, "source string, tokens bigint, take bigint")
+    chosen = chosen.join(F.broadcast(table) if len(counts) <= BROADCAST_ROWS else table, ["source", "tokens"], "left")
+    chosen = chosen.select("id", "source", "tokens", (F.col("ordinal") < F.coalesce("take", F.lit(0))).alias("more"))
+    before = F.element_at(F.create_map(*(F.lit(x) for row in picked if len(row) == 2 for x in row)), F.col("source"))
+    single = spark.createDataFrame([row for row in picked if len(row) == 3], "source string, place bigint, hit boolean")
+    far = long.join(F.broadcast(single), ["source", "place"], "left").select("id", "source", "tokens", ((F.col("place") < before) | F.coalesce("hit", F.lit(False))).alias("more"))
+    whole = F.element_at(F.create_map(*(F.lit(x) for name, r in first.items() for x in (name, r["whole"]))), F.col("source"))
+    return chosen.union(far).select("id", "source", "tokens", (whole + F.col("more").cast("int")).cast("int").alias("copies")).where("copies > 0")
+
+
+def _bounded(rows: DataFrame, most: int) -> list:
+    """The rows, at most `most` of them: counts by source and length, never documents."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} counts of sources and lengths; list fewer sources")
+    return found
 
 
 def mixture_report(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17) -> DataFrame:
-    """(source, weight, max_repeats, documents, own_tokens, target_tokens, short, reached_tokens, share): the budgets of `source_shares` beside what each listed source contributes to the mixture of `mix`. `share` is null for an empty mixture."""
-    sized, listed = _measured(df, targets, key, text, source, seed)
+    """(source, weight, max_repeats, documents, own_tokens, target_tokens, short, reached_tokens, share): the budgets of the listed sources, `source` as written in `targets`, beside what each contributes to the mixture of `mix`.
+
+    `short`: even max_repeats times its own tokens do not reach the target.
+    Sources are compared trimmed and in lower case; null sources of documents
+    match none; a null weight counts as 0 and null max_repeats as 1. `share`
+    is null for an empty mixture.
+    """
+    sized, listed = _measured(df, targets, key, text, source)
     reached = _mixed(sized, listed, seed).groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("reached_tokens")).withColumnRenamed("source", "_s")
     rows = _budgets(df, listed)
     rows = rows.join(reached, F.lower(F.regexp_replace("source", r"(?U)^\s+|\s+$", "")) == F.col("_s"), "left").drop("_s").withColumn("reached_tokens", F.coalesce("reached_tokens", F.lit(0)))

@@ -4,8 +4,8 @@ The histogram of lengths (at most `capacity` numbers, whatever the data) goes
 to the driver. There a configuration linear program (containers by the counts
 of lengths they hold) is solved by multiplicative weights: each round prices
 the lengths, a knapsack dynamic program finds the best configuration at those
-prices, and the lengths it serves lose weight. The solution is rounded down;
-what is left, a few items per configuration, goes to the fullest container it
+prices, and the lengths it serves lose weight. The solution is rounded; what
+is left, a few items per configuration, goes to the fullest container it
 fits. The plan says for each length which ordinals go where, and every item
 finds its container from its ordinal alone.
 """
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from quern.llm.sizes import ordinals, token_count
 from quern.plans.session import cut_lineage
 
-#: Rounds of multiplicative weights, and the step.
-ROUNDS, STEP = 240, 0.35
+#: Steps of the multiplicative weights, smaller from phase to phase; share of the lower bound within which a solution is good enough; most steps of a phase, and most knapsacks.
+PHASES, GAP, STEPS, ROUNDS = (0.3, 0.1, 0.03), 0.002, 4_000, 240
 
 
 def knapsack(values: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
@@ -49,35 +49,72 @@ def knapsack(values: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarr
     return counts
 
 
-def configurations(lengths: np.ndarray, numbers: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, float]]:
-    """A fractional solution of the configuration program: (counts per length, containers)."""
-    used: dict[bytes, list] = {}
-    log_weight = np.zeros(len(lengths))
-    covered = np.zeros(len(lengths))
-    for _ in range(rounds):
-        if (covered >= numbers).all():
+def configurations(lengths: np.ndarray, numbers: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[list[tuple[np.ndarray, float]], float]:
+    """A fractional solution of the configuration program, (counts per length, containers), and a lower bound of the containers of any packing.
+
+    Every length has a price. A step takes a configuration that is nearly the
+    best at these prices, as much of it as serves one of its lengths once,
+    and lowers the prices of the lengths it serves. The best is found by a
+    knapsack over the prices; while a configuration found before is good
+    enough, no new one is sought. By duality the prices of all items over the
+    value of the best configuration bound the containers from below; steps
+    end within GAP of that bound, or after STEPS of them or `rounds` knapsacks.
+    """
+    need = numbers.astype(float)
+    price = lengths / float((lengths * need).sum())
+    pool = np.zeros((0, len(lengths)))
+    known: dict[bytes, int] = {}
+    bound, most, asked = float(need @ lengths) / capacity, 0.0, 0
+    value, amounts = np.inf, np.zeros(0)
+    for size in PHASES:  # the first steps are poor ones: each phase starts its amounts anew, at the prices reached
+        used, covered, mean = np.zeros(len(pool)), np.zeros(len(lengths)), np.zeros(len(lengths))
+        for step in range(STEPS):
+            worth = pool @ price
+            pick = int(worth.argmax()) if len(worth) else -1
+            if pick < 0 or worth[pick] < (1 - size) * most:
+                if asked >= rounds:
+                    break
+                asked += 1
+                counts = knapsack(price, lengths, capacity)
+                most = float(counts @ price)
+                bound = max(bound, float(price @ need) / most)
+                counts = np.minimum(counts, numbers)
+                pick = known.setdefault(counts.tobytes(), len(pool))
+                if pick == len(pool):
+                    pool, used = np.vstack([pool, counts]), np.append(used, 0.0)
+            own = pool[pick] > 0
+            amount = float((need[own] / pool[pick][own]).min())
+            used[pick] += amount
+            gain = amount * pool[pick] / need
+            covered += gain
+            mean += price / float(price @ need)
+            price = price * np.exp(-size * gain)
+            if step % 20 == 0 and covered.min() > 0 and used.sum() / covered.min() < value:
+                value, amounts = float(used.sum() / covered.min()), used / covered.min()
+                if value <= (1 + GAP) * bound:
+                    break
+        bound = max(bound, float(mean @ need) / float(knapsack(mean, lengths, capacity) @ mean))
+        price, most = price / price.max(), 0.0
+        if asked >= rounds or value <= (1 + GAP) * bound:
             break
-        weight = np.exp(log_weight - log_weight.max())
-        weight[covered >= numbers] = 0
-        # price of a length: its weight over its demand, with its size to prefer full containers
-        value = lengths * (1e-3 + weight)
-        counts = knapsack(value.astype(float), lengths, capacity)
-        own = counts > 0
-        share = numbers[own] / counts[own]
-        amount = max(1e-9, min(float(share.min()), float((np.maximum(numbers - covered, 0)[own] / counts[own]).max())))
-        entry = used.setdefault(counts.tobytes(), [counts, 0.0])
-        entry[1] += amount
-        gain = counts * amount
-        covered += gain
-        log_weight -= STEP * gain / numbers / max(1e-12, float((gain / numbers).max()))
-    return [(c, x) for c, x in used.values()]
+    if not np.isfinite(value):  # not every length was served: what was found, no length more often than it is there
+        amounts = used / max(1.0, float(covered.max(initial=0.0)))
+    return [(pool[i].astype(np.int64), float(x)) for i, x in enumerate(amounts) if x > 0], bound
 
 
-def plan(lengths: np.ndarray, numbers: np.ndarray, capacity: int) -> tuple[dict[str, np.ndarray], int]:
-    """Where the items of each length go: rows (length, first, last, each, container, start) and the number of containers.
+def plan(lengths: np.ndarray, numbers: np.ndarray, capacity: int) -> tuple[dict[str, np.ndarray], int, float]:
+    """Where the items of each length go: rows (length, first, last, each, container, start), the number of containers, and the program's lower bound of it.
 
     Ordinals first..last-1 of a length go `each` to a container, from `container` on, one behind the other from `start`.
+    The program's solution is rounded down, then configurations are used once more, largest fractions first, while all
+    they hold is left; the rest is filled up greedily. Where that takes more containers than filling greedily from the start, the latter stands.
     """
+    solution, bound = configurations(lengths, numbers, capacity)
+    table, containers = min((_placed(lengths, numbers, capacity, x) for x in (solution, [])), key=lambda t: t[1])
+    return table, containers, bound
+
+
+def _placed(lengths: np.ndarray, numbers: np.ndarray, capacity: int, solution: list[tuple[np.ndarray, float]]) -> tuple[dict[str, np.ndarray], int]:
     left = numbers.astype(np.int64).copy()
     rows: list[tuple[int, int, int, int, int, int]] = []
     containers = 0
@@ -93,11 +130,14 @@ def plan(lengths: np.ndarray, numbers: np.ndarray, capacity: int) -> tuple[dict[
             start += each * int(lengths[k])
         containers += times
 
-    for counts, amount in sorted(configurations(lengths, numbers, capacity), key=lambda x: -int((x[0] * lengths).sum())):
+    for counts, amount in sorted(solution, key=lambda x: -int((x[0] * lengths).sum())):
         own = counts > 0
         times = int(min(np.floor(amount + 1e-9), (left[own] // counts[own]).min()))
-        if times > 0 and (counts * lengths).sum() >= 0.998 * capacity:
+        if times > 0:
             place(counts, times)
+    for counts, _ in sorted(solution, key=lambda x: -(x[1] % 1)):
+        if (left >= counts).all():
+            place(counts, 1)
     # the rest: fill a container with the longest that fit, and repeat it as often as the counts allow
     while left.sum():
         counts = np.zeros(len(lengths), np.int64)
@@ -155,12 +195,13 @@ def fill_containers(df: DataFrame, key: str = "doc_id", text: str = "text", capa
     lengths = np.array(sorted(counts), np.int64)
     numbers = np.array([counts[x] for x in lengths.tolist()], np.int64)
     empty = {n: np.zeros(0, np.int64) for n in ("length", "first", "last", "each", "container", "start")}
-    table, _ = plan(lengths, numbers, capacity) if len(lengths) else (empty, 0)
+    table = plan(lengths, numbers, capacity)[0] if len(lengths) else empty
     kind = sized.schema["id"].dataType.simpleString()
     placed = ordinals(pieces, ["tokens"], "order").mapInArrow(lambda it: _assign(it, table, 0), f"id {kind}, piece int, pieces int, tokens bigint, container bigint, start bigint")
     return placed.withColumnRenamed("id", key)
 
 
 def cut_documents(placed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The keys of the documents that were cut."""
-    return placed.where("pieces > 1").select(key).distinct()
+    """The keys of the documents that were cut: their pieces went to more than one place."""
+    places = placed.where("pieces > 1").groupBy(key).agg(F.count_distinct("container", "start").alias("places"))
+    return places.where("places > 1").select(key)

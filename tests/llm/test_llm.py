@@ -1,5 +1,6 @@
 """The numbered operators against brute force, round trips and their stated edge cases."""
 
+import itertools
 import random
 import re
 
@@ -304,6 +305,20 @@ def test_knapsack():
     assert (counts * [2, 3, 5]).sum() <= 11 and (counts * [3, 5, 9]).sum() == 19
 
 
+@pytest.mark.parametrize("lengths, numbers, greedy_takes", [([508, 514, 516, 1026], [1200, 600, 600, 600], 1100), ([400, 410, 420, 700, 705, 710, 715, 920, 930], [1000] * 9, 3200)])
+def test_the_program_beats_greedy_filling(lengths, numbers, greedy_takes):
+    lengths, numbers = np.array(lengths), np.array(numbers)
+    solution, bound = packing.configurations(lengths, numbers, 2048)
+    assert all((counts * lengths).sum() <= 2048 for counts, _ in solution) and (sum(c * x for c, x in solution) >= numbers - 1e-6).all()
+    assert packing._placed(lengths, numbers, 2048, [])[1] == greedy_takes
+    table, containers, _ = packing.plan(lengths, numbers, 2048)
+    assert bound - 1e-6 <= containers <= min(0.95 * greedy_takes, 1.05 * bound)
+    items = {x: 0 for x in lengths.tolist()}
+    for length, first, last in zip(table["length"].tolist(), table["first"].tolist(), table["last"].tolist()):
+        items[length] += last - first
+    assert items == dict(zip(lengths.tolist(), numbers.tolist()))
+
+
 def test_subset_counts_are_exact():
     rng = np.random.default_rng(5)
     for _ in range(20):
@@ -324,7 +339,8 @@ def test_mixture(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("copies", F.lit("clash"))
     targets = spark.createDataFrame([("forum", 0.3, 2), ("wiki", 0.45, 3), ("small", 0.15, 1), ("absent", 0.1, 5)], "source string, weight double, max_repeats int")
     mixed = mixing.mix(df, targets).collect()
-    shares = {r.source: r for r in mixing.source_shares(df, targets).collect()}
+    report = {r.source: r for r in mixing.mixture_report(df, targets).collect()}
+    shares = report
     assert {k for k, r in shares.items() if r.short} >= {"absent"} and all(r.short == (r.target_tokens > r.max_repeats * r.own_tokens) for r in shares.values())
     most = {"forum": 2, "wiki": 3, "small": 1}
     reached = {}
@@ -334,13 +350,32 @@ def test_mixture(spark):
     for k in ("forum", "wiki", "small"):
         goal = most[k] * shares[k].own_tokens if shares[k].short else shares[k].target_tokens
         assert abs(reached[k] - goal) <= 1
-    report = {r.source: r for r in mixing.mixture_report(df, targets).collect()}
     assert {k: r.reached_tokens for k, r in report.items()} == reached | {"absent": 0} and abs(sum(r.share for r in report.values()) - 1) < 1e-9
-    got = {r.source: r.share for r in mixing.reached_shares(mixing.mix(df, targets)).collect()}
-    assert abs(sum(got.values()) - 1) < 1e-9
     assert mixing.mix(df.limit(0), targets).count() == 0 and mixing.mix(df, targets.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3, 17])
+def test_long_documents_are_fitted(spark, seed):
+    sizes_of = [8_200, 8_950, 9_400, 10_111, 10_870, 11_600, 12_345, 12_800, 13_100]
+    rows = [(i, "w " * n, "long") for i, n in enumerate(sizes_of)] + [(100, "w " * 3, "rest")]
+    targets = spark.createDataFrame([("long", 48_442 / (sum(sizes_of) + 3), 1)], "source string, weight double, max_repeats int")
+    targets = targets.union(spark.createDataFrame([("rest", 0.0, 1)], "source string, weight double, max_repeats int"))
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), targets, seed=seed).where("source = 'long'").collect()
+    best = max(sum(x) for n in range(10) for x in itertools.combinations(sizes_of, n) if sum(x) <= 48_442)
+    assert sum(r.tokens * r.copies for r in mixed) == best and all(r.copies == 1 for r in mixed)
+
+
+def test_many_long_documents_meet_their_share(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LONG", 40)
+    monkeypatch.setattr(mixing, "NEAR", 8)
+    rng = random.Random(4)
+    rows = [(i, " ".join(["w"] * rng.randint(30, 400)), rng.choice("ab")) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("a", 0.2, 1), ("b", 0.8, 2)], "source string, weight double, max_repeats int")
+    got = {r.source: r for r in mixing.mixture_report(df, targets).collect()}
+    assert all(abs(r.target_tokens - r.reached_tokens) <= 1 for r in got.values()), got
+
+
 PROSE = "The link copies all entries into the project every day. If you close the week while the page is open, the total is updated at once.\n"
 CASES = {
     "prose": PROSE * 3 + "- one\n- two\n",
@@ -370,8 +405,6 @@ def test_kinds(spark):
 
 
 def test_most_likely_path_against_brute_force():
-    import itertools
-
     rng = np.random.default_rng(1)
     for n in (1, 2, 5):
         s = rng.normal(size=(n, 4)) * 2
