@@ -202,7 +202,18 @@ def test_repeated_lines(spark):
     assert (2, 20) in blocks
     cleaned = {r.id: (r.cleaned, r.removed) for r in repeatedlines.without_repeated(df).collect()}
     assert cleaned["a1"] == ("own text 1\n\ntail 1", 2) and cleaned["n2"] == ("share this page", 0) and cleaned["n1"] == (None, 0)
-    assert repeatedlines.repeated_places(df.limit(0)).count() == 0
+    assert repeatedlines.repeated_places(df.limit(0)).count() == 0 and repeatedlines.without_repeated(df.limit(0)).count() == 0
+
+
+def test_texts_that_are_long_runs_of_repeated_lines(spark):
+    boiler = [f"notice {i}" for i in range(300)]
+    rows = [(f"d{i}", "\n".join([*boiler, f"own {i}"]), "http://a.example/") for i in range(6)] + [("d0", "Notice 7\nother text", "http://a.example/")]
+    df = spark.createDataFrame(rows, "id string, text string, url string")
+    got = {(r.id, r.line_no) for r in repeatedlines.repeated_places(df).collect()}
+    assert got == {(f"d{i}", n) for i in range(6) for n in range(1, 301)}
+    assert max(r.length for r in repeatedlines.repeated_blocks(df).collect()) == repeatedlines.LONGEST
+    cleaned = sorted((r.id, r.cleaned, r.removed) for r in repeatedlines.without_repeated(df).collect())
+    assert cleaned == sorted([(f"d{i}", f"own {i}", 300) for i in range(6)] + [("d0", "other text", 1)])
 
 
 def test_hosts(spark):
