@@ -188,6 +188,21 @@ def test_large_cells_are_joined_in_blocks(spark, monkeypatch):
     assert {(r.a, r.b) for r in neighbours.most_similar(df, {"m": 8}, k=3).collect()} == brute(n, np.arange(300), 3, -1.0)
 
 
+def test_cells_are_divided_where_there_are_many_vectors(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL", 100)
+    monkeypatch.setattr(neighbours, "MOST_CELLS", 4)
+    rng = np.random.default_rng(14)
+    centers = rng.normal(size=(150, 16))
+    x = centers[rng.integers(0, 150, 4000)] + 0.2 * rng.normal(size=(4000, 16))
+    df = spark.createDataFrame([(i, "m", [float(v) for v in r]) for i, r in enumerate(x)], "vec_id bigint, model string, embedding array<float>")
+    fitted, _ = neighbours._fit(neighbours.usable_vectors(df, {"m": 16}))
+    assert fitted["m"].shape == (4, 10, 16) and len(np.unique(fitted["m"].reshape(40, 16), axis=0)) > 30
+    n = x.astype("f4").astype(float)
+    n /= np.linalg.norm(n, axis=1, keepdims=True)
+    truth = brute(n, np.arange(4000), 5, -1.0)
+    assert len({(r.a, r.b) for r in neighbours.most_similar(df, {"m": 16}, k=5).collect()} & truth) >= 0.9 * len(truth)
+
+
 def test_repeated_lines(spark):
     rows = []
     for i in range(40):
