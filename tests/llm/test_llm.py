@@ -64,6 +64,7 @@ def test_near_duplicates_against_all_pairs(spark, words, threshold):
     rows = [(k, t, "x", 1) for k, t in texts.items()] + [("g0v0", texts["g0v0"], "y", 2), (None, "text without key at all", "z", 3)]
     df = spark.createDataFrame(rows, "id string, text string, d string, entries int")
     got = nearduplicates.near_duplicates(df, words=words, threshold=threshold)
+    assert found_classes(nearduplicates.near_duplicates(df, words=words, threshold=threshold, exact=True)) == classes(texts, words, threshold)
     assert found_classes(got) == classes(texts, words, threshold)
     assert sorted(r.id for r in got.collect()) == sorted(k for k, t in texts.items() if t is not None)
 
@@ -103,6 +104,25 @@ def test_copies_that_are_only_like_their_original(spark, monkeypatch, length, ch
     assert got == dict(zip(names, (truth.sum(axis=1) - 1).tolist())) and got["original"] > 0.9 * copies
 
 
+def test_exact_search_finds_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(nearduplicates, "CLASS_BLOCK", 3)
+    rng = random.Random(31)
+    base = [f"b{i}" for i in range(420)]
+    texts = {}
+    for k in range(60):  # similarities around one half, in sets far beyond NODES
+        t = list(base)
+        for at in rng.sample(range(420), rng.randint(28, 50)):
+            t[at] = f"x{k}n{at}"
+        texts[f"t{k:02d}"] = " ".join(t)
+    sets = {k: grams(t, 3) for k, t in texts.items()}
+    truth = {k: sum(2 * len(a & b) >= len(a | b) for j, b in sets.items() if j != k) for k, a in sets.items()}
+    df = spark.createDataFrame(list(texts.items()), "id string, text string")
+    got = nearduplicates.near_duplicates(df, words=3, threshold=0.5, exact=True)
+    assert {r.id: r.links for r in got.collect()} == truth and 0 < sum(truth.values())
+    whole = classes(texts, 3, 0.5)
+    assert {(r.id_a, r.id_b) for r in nearduplicates.group_pairs(got).collect()} == {(a, b) for g in whole for a in g for b in g if a < b}
+
+
 def test_near_duplicates_of_nothing(spark):
     empty = spark.createDataFrame([], "id string, text string")
     assert nearduplicates.near_duplicates(empty).count() == 0
