@@ -18,6 +18,7 @@ def local_session(cores: str = "8", partitions: int = 8, **conf: str) -> SparkSe
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for k, v in (settings | conf).items():
         builder = builder.config(k, v)
@@ -27,10 +28,12 @@ def local_session(cores: str = "8", partitions: int = 8, **conf: str) -> SparkSe
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
+    """The folder all executors share, from spark.checkpoint.dir; a temporary one only on a local master that names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if named is None and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return named or context._jsc.sc().getCheckpointDir().get()
 
