@@ -115,8 +115,8 @@ def fields_of(line: str) -> int:
     return max(bars, tabs, gaps, semis if not re.search(r"; ", line) else 0, commas)
 
 
-def line_scores(line: str, words: list[str], alpha: int, solid: int, frequent: int, ends: bool, strange: bool) -> tuple[float, float, float, float]:
-    """log-likelihood of the line in each kind, up to a shared constant; `alpha` and `solid` are its letters and digits and its characters that are no white space."""
+def line_scores(line: str, words: list[str], alpha: int, solid: int, frequent: int, ends: bool, strange: bool, again: bool = False) -> tuple[float, float, float, float]:
+    """log-likelihood of the line in each kind, up to a shared constant; `alpha` and `solid` are its letters and digits and its characters that are no white space, `strange` and `again` what is known of its whole text: odd letter pairs, one scrap over and over."""
     n = len(words)
     symbols = 1 - alpha / solid
     share = frequent / n if n else 0.0
@@ -125,7 +125,7 @@ def line_scores(line: str, words: list[str], alpha: int, solid: int, frequent: i
     longest = max(map(len, words), default=0)
     prose = listed = table = junk = 0.0
     if n == 0 or alpha == 0:
-        if "|" in line and re.fullmatch(r"[\s|:+=-]+", line):
+        if "|" in line and not again and re.fullmatch(r"[\s|:+=-]+", line):
             return -6.0, -4.0, 0.0, -3.0
         return -6.0, -4.0, -5.0, 0.0
     prose += 4.0 * min(share / 0.25, 1.2) - 3.0 + (1.0 if n >= 7 else -0.6 * (7 - n) / 2) + (0.8 if ends else -0.4)
@@ -136,7 +136,7 @@ def line_scores(line: str, words: list[str], alpha: int, solid: int, frequent: i
         prose -= 1.0
         listed -= 1.5
     single = sum(len(w) == 1 for w in words) / n
-    junk -= 1.8
+    junk += 12.0 if again else -1.8
     if symbols > 0.45:
         junk += 6.0 * symbols + (1.0 if fields < 2 else -2.0)
         prose -= 3.0
@@ -214,7 +214,7 @@ def repeats(words: list[str]) -> bool:
 def _statistics(batches: Iterator[pa.RecordBatch], common: frozenset[str], letters: Letters) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("t").to_pylist()
-        rows, scores, weights, numbers, over = [], [], [], [], []
+        rows, scores, weights, numbers = [], [], [], []
         for i, text in enumerate(texts):
             text = _plain(text)
             lines = [x for x in text.split("\n") if x.strip()]
@@ -225,14 +225,13 @@ def _statistics(batches: Iterator[pa.RecordBatch], common: frozenset[str], lette
             ends = [bool(_ENDS.search(x.rstrip())) for x in lines]
             n, solid, frequent = sum(map(len, own)), sum(solids), sum(hits)
             numbers.append((n, sum(alphas) / n if n else None, 1 - sum(alphas) / solid if solid else None, sum(ends) / len(lines) if lines else None, frequent / n if n else None))
-            over.append(repeats([w for words in own for w in words]))
+            again = repeats([w for words in own for w in words])
             strange = bool(lines) and (not n or frequent < 0.2 * n) and letters.score(text) < letters.usual - 0.55
             for one in zip(lines, own, alphas, solids, hits, ends):
                 rows.append(i)
                 weights.append(len(one[0].strip()))
-                scores.append(line_scores(*one, strange))
+                scores.append(line_scores(*one, strange, again))
         shares = _kinds(np.array(scores, float).reshape(-1, len(KINDS)), np.array(rows, np.int64), np.array(weights, float), len(texts))
-        shares[np.array(over, bool)] = (0, 0, 0, 1)
         has = shares.sum(axis=1) > 0
         kind = [KINDS[k] if ok else None for k, ok in zip(shares.argmax(axis=1), has)]
         columns = list(zip(*numbers)) if numbers else [[]] * 5
