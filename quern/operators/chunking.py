@@ -13,14 +13,14 @@ from quern.functions import text as tx
 
 
 def character_windows(df: DataFrame, key: str, text: str, size: int = 1600, overlap: int = 200) -> DataFrame:
-    """(key, window, start, piece): windows of `size` characters that overlap by `overlap`; one for a text that fits, none for null and empty ones."""
+    """(key, window, start, piece): windows of `size` characters that overlap by `overlap`, trimmed; blank ones, and null and blank texts, give no row."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be smaller than size")
     n = F.length(text)
     last = F.when(n <= size, F.lit(0)).otherwise(F.ceil((n - overlap) / F.lit(size - overlap)) - 1).cast("int")
     rows = df.where(F.col(text).isNotNull() & (n > 0)).select(key, text, F.explode(F.sequence(F.lit(0), last)).alias("window"))
     start = F.col("window") * (size - overlap)
-    return rows.select(key, "window", start.alias("start"), F.substring(F.col(text), start + 1, F.lit(size)).alias("piece"))
+    return rows.select(key, "window", start.alias("start"), tx.stripped(F.substring(F.col(text), start + 1, F.lit(size))).alias("piece")).where("piece <> ''")
 
 
 def chunk_id(name: Column, section: Column, chunk: Column, text: Column) -> Column:

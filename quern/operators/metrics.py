@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Samples of a histogram that count, newest first.
-HISTORY = 10_000
+from quern.operators.lexical import small
+from quern.plans.session import cut_lineage
+
+#: Samples of a histogram that count, newest first, and the parts in which a series is cut to them.
+HISTORY, PARTS = 10_000, 32
+#: Equal steps between a group's smallest and largest value among which a rank is sought.
+STEPS = 1_000
 QUANTILES = (0.5, 0.95, 0.99)
 
 
@@ -37,10 +42,13 @@ def histograms(rows: DataFrame, history: int = HISTORY) -> DataFrame:
     """(name, labels, count, min, max, mean, p50, p95, p99) over the last `history` samples of every series.
 
     A percentile is the sample of nearest rank, round-half-even(p (n - 1))
-    from 0. The window keeps `history` rows a series before anything is sorted by value.
+    from 0. A series is cut to its newest samples in PARTS parts first, then
+    as a whole, so no task sorts more of it than a part or PARTS x `history`.
     """
-    newest = Window.partitionBy("name", "labels").orderBy(F.desc("ts"), F.desc("received_at"), F.desc("value"))
-    last = rows.where("kind = 'histogram'").withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= history)
+    last = rows.where("kind = 'histogram'").withColumn("_part", F.pmod(F.xxhash64("ts", "received_at", "value"), F.lit(PARTS)))
+    for by in (["name", "labels", "_part"], ["name", "labels"]):
+        newest = Window.partitionBy(*by).orderBy(F.desc("ts"), F.desc("received_at"), F.desc("value"))
+        last = last.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= history)
     sorted_values = F.array_sort(F.collect_list("value"))
     g = last.groupBy("name", "labels").agg(F.count("*").alias("count"), sorted_values.alias("v"), F.avg("value").alias("mean"))
 
@@ -80,9 +88,33 @@ def windowed_counts(events: DataFrame, every: str = "1 hour", late: str = "2 day
     return g.select(F.col("window.start").alias("window_start"), "name", "n", "total")
 
 
+def values_at(rows: DataFrame, ranks: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, rank, value): the values at the given ranks (by, lo, hi, rank), from 1, of each group in order of value; lo and hi are its smallest and largest.
+
+    Values are counted in STEPS equal steps between lo and hi; only the rows
+    of the steps that hold a rank are sorted, so a group with a third of all
+    rows is no single sort unless its values lie that close.
+    """
+    limits = ranks.select(by, "lo", "hi").distinct()
+    place = F.when(F.col("hi") > F.col("lo"), F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * STEPS).cast("int"))
+    placed = rows.join(small(limits), by).select(by, value, F.coalesce(place, F.lit(0)).alias("step"))
+    counts = placed.groupBy(by, "step").agg(F.count("*").alias("c"))
+    until = counts.withColumn("until", F.sum("c").over(Window.partitionBy(by).orderBy("step")))
+    held = until.join(ranks.select(by, "rank"), by).where((F.col("rank") <= F.col("until")) & (F.col("rank") > F.col("until") - F.col("c")))
+    held = held.select(by, "step", "rank", (F.col("rank") - (F.col("until") - F.col("c"))).alias("inside"))
+    near = placed.join(small(held.select(by, "step").distinct()), [by, "step"], "left_semi")
+    near = near.withColumn("inside", F.row_number().over(Window.partitionBy(by, "step").orderBy(value)))
+    return near.join(small(held), [by, "step", "inside"]).select(by, "rank", value)
+
+
 def bench_summary(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """(by, n, mean, median, stdev, min, max, p95): p95 is the sorted sample at int(0.95 n), stdev of the sample."""
-    g = rows.where(F.col(value).isNotNull()).groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_samp(value).alias("stdev"), F.min(value).alias("min"), F.max(value).alias("max"))
-    order = Window.partitionBy(by).orderBy(value)
-    ranked = rows.where(F.col(value).isNotNull()).select(by, F.col(value).alias("p95"), F.row_number().over(order).alias("r"))
-    return g.join(ranked, by).where(F.col("r") == F.least(F.floor(F.col("n") * 0.95) + 1, F.col("n"))).drop("r")
+    """(by, n, mean, median, stdev, min, max, p95): p95 is the sorted sample at int(0.95 n), the median the mean of the middle two, stdev of the sample."""
+    rows = rows.where(F.col(value).isNotNull()).select(by, value)
+    g = cut_lineage(rows.groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("stdev"), F.min(value).alias("min"), F.max(value).alias("max")))
+    n = F.col("n")
+    wanted = F.array(F.floor((n + 1) / 2), F.floor(n / 2) + 1, F.least(F.floor(n * 0.95) + 1, n))
+    ranks = g.select(by, F.col("min").alias("lo"), F.col("max").alias("hi"), F.explode(F.array_distinct(wanted)).alias("rank"))
+    found = values_at(rows, ranks, by, value).groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("rank", value))).alias("at"))
+    rows = g.join(found, by).withColumn("w", wanted)
+    at = lambda i: F.element_at("at", F.col("w")[i])
+    return rows.select(by, "n", "mean", ((at(0) + at(1)) / 2).alias("median"), "stdev", "min", "max", at(2).alias("p95"))

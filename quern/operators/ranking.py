@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+import re
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.text import escaped
 from quern.operators.lexical import top
 
 
@@ -30,36 +32,26 @@ def z(score: Column, mean: Column, dev: Column) -> Column:
     return F.coalesce(F.when(dev > 0, (score - mean) / dev), F.lit(0.0))
 
 
-def hybrid(bm25: DataFrame, dense: DataFrame, corpus: DataFrame, k: int = 15, alpha: float = 0.5, query_key: str = "query_id", key: str = "id") -> DataFrame:
-    """(query_key, key, bm25, dense, hybrid, rank): the k best by alpha z(bm25) + (1 - alpha) z(dense).
+def fuse(lexical: DataFrame, candidates: DataFrame, moments: DataFrame, k: int, alpha: float = 0.5, factor: float = 1.0, query_key: str = "query_id", key: str = "id") -> DataFrame:
+    """(query_key, key, bm25, dense, hybrid, rank): the k best by alpha z(bm25) + (1 - alpha) z(dense), times `factor` where `flag` holds (a hub page).
 
-    Only the 3k best lexical scores of a query count, others are 0 (as is
-    every document without a term in common). Both z-scores are over the whole
-    corpus `corpus` (key). Documents outside the lexical list differ by their
-    dense score alone, so the k best of those that `dense` (all pairs, or at
-    least each query's best) gives are enough next to the lexical list.
+    `lexical` holds each query's 3k best lexical scores, others are 0 (as is
+    every document without a term in common); `candidates` (query_key, key,
+    flag, dense) those and each query's dense best of either flag: outside the
+    lexical list documents of one flag differ by their dense score alone, so
+    these are enough. `moments` (query_key, n, mean, dev) are of all dense
+    scores; both z-scores are over the whole corpus of n.
     """
-    lexical = top(bm25, 3 * k, "bm25", query_key, key).select(query_key, key, "bm25")
-    best = top(dense, 4 * k, "dense", query_key, key).select(query_key, key, "dense")
-    listed = dense.join(F.broadcast(lexical.select(query_key, key)), [query_key, key])
-    return fuse(lexical, best.union(listed).distinct(), z_columns(dense, "dense", None, query_key), corpus.agg(F.count("*").alias("n")), k, alpha, query_key, key)
-
-
-def fuse(lexical: DataFrame, candidates: DataFrame, moments: DataFrame, n: DataFrame, k: int, alpha: float = 0.5, query_key: str = "query_id", key: str = "id") -> DataFrame:
-    """The last step of `hybrid`: `lexical` holds each query's 3k best, `candidates` (query_key, key, dense) those and each query's dense best, `moments` (query_key, mean, dev) of all dense scores, `n` the corpus size."""
-    lex_stats = z_columns(lexical, "bm25", n, query_key).select(query_key, F.col("mean").alias("lm"), F.col("dev").alias("ls"))
+    sums = lexical.groupBy(query_key).agg(F.sum("bm25").alias("s1"), F.sum(F.col("bm25") * F.col("bm25")).alias("s2")).join(moments.select(query_key, "n"), query_key)
+    mean = F.col("s1") / F.col("n")
+    lex_stats = sums.select(query_key, mean.alias("lm"), F.sqrt(F.greatest(F.lit(0.0), F.col("s2") / F.col("n") - mean * mean)).alias("ls"))
     den_stats = moments.select(query_key, F.col("mean").alias("dm"), F.col("dev").alias("ds"))
     rows = candidates.join(lexical, [query_key, key], "left").join(den_stats, query_key).join(lex_stats, query_key, "left")
     score = alpha * z(F.coalesce("bm25", F.lit(0.0)), F.col("lm"), F.col("ls")) + (1 - alpha) * z(F.col("dense"), F.col("dm"), F.col("ds"))
-    rows = rows.select(query_key, key, F.coalesce("bm25", F.lit(0.0)).alias("bm25"), "dense", F.round(score, 9).alias("hybrid"))
+    rows = rows.select(query_key, key, F.coalesce("bm25", F.lit(0.0)).alias("bm25"), "dense", F.round(F.when(F.col("flag"), score * factor).otherwise(score), 9).alias("hybrid"))
     return top(rows, k, "hybrid", query_key, key)
 
 
-def adjusted(rows: DataFrame, flag: Column, factor: float, score: str = "hybrid") -> DataFrame:
-    """rows with `score` times `factor` where `flag` holds (a hub page, a keyword match); null flags count as no."""
-    return rows.withColumn(score, F.when(F.coalesce(flag, F.lit(False)), F.col(score) * factor).otherwise(F.col(score)))
-
-
 def first_of(rows: DataFrame, by: list[str], query_key: str = "query_id", rank: str = "rank") -> DataFrame:
     """Of each ranked list the first row of every value of `by`."""
     order = Window.partitionBy(query_key, *by).orderBy(rank)
@@ -105,16 +97,18 @@ def confidence(rows: DataFrame, threshold: float = 0.25, query_key: str = "query
     """(query_key, confidence): 0 to 100 from the scores of a ranked list, clipped to [0, 1].
 
     The best score sets the base, linear up to 40 below `threshold` and on to
-    100 above it; close agreement of the list's mean with its best adds 5, a
-    large gap takes 10; one row alone takes 10, three and more above the
-    threshold add 5.
+    100 above it, cut to a whole number. In a list of two and more a mean over
+    0.8 of the best adds 5 and one under half of it takes 10; then three and
+    more scores at the threshold add 5, fewer than two take 10. Each step
+    stays within 0 to 100.
     """
     s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(score)))
     g = rows.groupBy(query_key).agg(F.max(s).alias("best"), F.avg(s).alias("mean"), F.count("*").alias("n"), F.count_if(s >= threshold).alias("good"))
-    base = F.when(F.col("best") < threshold, F.col("best") / threshold * 40).otherwise(40 + (F.col("best") - threshold) / (1 - threshold) * 60)
-    agree = F.when(F.col("best") - F.col("mean") < 0.1, 5).when(F.col("best") - F.col("mean") > 0.4, -10).otherwise(0)
-    cover = F.when(F.col("good") >= 3, 5).when(F.col("n") < 2, -10).otherwise(0)
-    return g.select(query_key, F.greatest(F.lit(0), F.least(F.lit(100), (base + agree + cover).cast("int"))).alias("confidence"))
+    within = lambda x: F.greatest(F.lit(0), F.least(F.lit(100), x))
+    base = F.when(F.col("best") < threshold, F.col("best") / threshold * 40).otherwise(40 + (F.col("best") - threshold) / (1 - threshold) * 60).cast("int")
+    ratio = F.when(F.col("best") > 0, F.col("mean") / F.col("best")).otherwise(F.lit(0.0))
+    g = g.select(query_key, "good", F.when(F.col("n") < 2, base).when(ratio > 0.8, within(base + 5)).when(ratio < 0.5, within(base - 10)).otherwise(base).alias("c"))
+    return g.select(query_key, within(F.when(F.col("good") >= 3, within(F.col("c") + 5)).when(F.col("good") < 2, within(F.col("c") - 10)).otherwise(F.col("c"))).alias("confidence"))
 
 
 def covered(rows: DataFrame, threshold: float = 0.25, least: int = 2, query_key: str = "query_id", score: str = "dense") -> DataFrame:
@@ -134,46 +128,109 @@ def ranking_quality(ranked: DataFrame, relevant: DataFrame, query_key: str = "qu
     return rows.select(query_key, F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr"), F.coalesce(F.col("in_at") / at, F.lit(0.0)).alias("precision"), F.coalesce(F.col("gain") / ideal, F.lit(0.0)).alias("ndcg"))
 
 
-def pack_by_budget(rows: DataFrame, budget: int, tokens: str = "tokens", query_key: str = "query_id", rank: str = "rank", separator: int = 16) -> DataFrame:
-    """The leading rows of each list whose running size, a separator each, stays within the budget, with `used`."""
+def gate(rows: DataFrame, thresholds: dict[str, float]) -> DataFrame:
+    """(metric, value, threshold, passed): a one-row table of metrics against their thresholds; a missing metric fails."""
+    parts = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), F.lit(float(t)).alias("threshold")) for m, t in thresholds.items()]
+    flat = rows.select(F.explode(F.array(*parts)).alias("x")).select("x.*")
+    return flat.withColumn("passed", F.coalesce(F.col("value") >= F.col("threshold"), F.lit(False)))
+
+
+def pack_by_budget(rows: DataFrame, budget: int, share: float = 0.75, tokens: str = "tokens", query_key: str = "query_id", key: str = "id", rank: str = "rank", separator: int = 16) -> DataFrame:
+    """(query_key, rank, key, used, truncated): the leading rows of each list up to the first at which the running size, a separator each, reaches `share` of the budget.
+
+    A row that would pass the budget ends the list with the mark [TRUNCATED]
+    in its place, or stays, without its separator, where it is the first.
+    """
     order = Window.partitionBy(query_key).orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("used", F.sum(F.col(tokens) + separator).over(order)).where(F.col("used") <= budget)
+    own = F.col(tokens) + separator
+    rows = rows.withColumn("_sum", F.sum(own).over(order)).withColumn("_before", F.col("_sum") - own)
+    over = F.col("_sum") > budget
+    rows = rows.where((F.col("_before") < int(budget * share)) & (F.col("_before") <= budget))
+    first = F.col("_before") == 0
+    return rows.select(query_key, rank, F.when(over & ~first, "[TRUNCATED]").otherwise(F.col(key)).alias(key), F.when(over, F.when(first, F.col(tokens)).otherwise(F.col("_before"))).otherwise(F.col("_sum")).cast("bigint").alias("used"), over.alias("truncated"))
+
 
+_CJK = re.compile("[\u4e00-\u9fff\u3040-\u30ff\uac00-\ud7af]")
+SEPARATOR = "\n\n---\n\n"
 
-def pack_articles(rows: DataFrame, budget: int, most: int = 10, query_key: str = "query_id", article: str = "article", rank: str = "rank") -> DataFrame:
-    """(query_key, article, id, place, tokens, cut): a context of the best articles within a token budget.
+
+def _tokens(text: str) -> int:
+    cjk = len(_CJK.findall(text))
+    return math.ceil(cjk / 1.5 + (len(text) - cjk) / 3.5)
+
+
+def _cut(text: str, budget: int) -> str:
+    """The longest start within the budget, with an ellipsis where there is room for one."""
+    if _tokens(text) <= budget:
+        return text
+    room = budget if budget < _tokens("...") else budget - _tokens("...")
+    low, high = 0, len(text)
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if _tokens(text[:middle]) <= room else (low, middle - 1)
+    return text[:low] + ("" if budget < _tokens("...") else "...")
+
+
+def pack_articles(rows: DataFrame, budget: int, context: int = 32_768, most: int = 10, query_key: str = "query_id", rank: str = "rank") -> DataFrame:
+    """(query_key, place, article, title, url, ids, text, used): a context of the best articles within a token budget, at most 0.6 of `context`.
 
     Articles come in order of their best row, at most `most` of them; rows of
-    an article in document order (section_idx, chunk_idx, missing ones last).
-    Rows are added while they fit; the first that does not is cut to the room
-    left (if at least one token) and ends the packing. The best article goes
-    last, next to the question. `rows` needs id, section_idx, chunk_idx,
-    tokens; a group is one query's short list.
+    an article in document order (section_idx, chunk_idx, missing ones last),
+    under a header of title and url. Rows are added while they fit; the first
+    that does not is cut to the room left and ends its article, and an article
+    that finds no room ends the packing. The best article goes last, next to
+    the question; `used` are the tokens of the whole context. `rows` needs id,
+    article_key, title, doc_name, url, text, section_idx, chunk_idx; a group
+    is one query's short list.
     """
     kinds = dict(rows.dtypes)
+    limit = min(budget, int(context * 0.6))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(rank)
-        order = list(dict.fromkeys(pdf[article]))[:most]
-        out, room = [], budget
-        for i, name in enumerate(order):
-            own = pdf[pdf[article] == name].assign(s=lambda x: x.section_idx.fillna(10_000), c=lambda x: x.chunk_idx.fillna(10_000)).sort_values(["s", "c", rank], kind="stable")
+        blocks, used = [], 0
+        for name in list(dict.fromkeys(pdf.article_key))[:most]:
+            own = pdf[pdf.article_key == name].assign(s=lambda x: x.section_idx.fillna(10_000), c=lambda x: x.chunk_idx.fillna(10_000)).sort_values(["s", "c", rank], kind="stable")
+            head = own.iloc[0]
+            title = head.title or head.doc_name or "Untitled Article"
+            url = head.url or name
+            header, gap = f"### Article: {title}\nURL: {url}\n\n", _tokens(SEPARATOR) if blocks else 0
+            room = limit - used - gap
+            if used >= limit or room <= 0:
+                break
+            parts: list[str] = []
+            ids = []
             for r in own.itertuples():
-                if room <= 0:
-                    break
-                size = min(int(r.tokens), room)
-                out.append((i == 0, i, len(out), name, r.id, size, size < r.tokens))
-                room -= size
-                if size < r.tokens:
-                    room = 0
-            if room <= 0:
+                text = r.text or ""
+                if _tokens(header + "\n\n".join([*parts, text])) <= room:
+                    parts.append(text)
+                    ids.append(r.id)
+                    continue
+                short = _cut(text, max(0, room - _tokens(header + "\n\n".join(parts))))
+                if short:
+                    parts.append(short)
+                    ids.append(r.id)
                 break
-        out.sort(key=lambda x: (x[0], x[1], x[2]))
-        frame = pd.DataFrame(out, columns=["_b", "_i", "_n", article, "id", "tokens", "cut"])
-        frame[query_key], frame["place"] = pdf[query_key].iloc[0], np.arange(1, len(frame) + 1)
-        return frame[[query_key, article, "id", "place", "tokens", "cut"]]
-
-    return rows.groupBy(query_key).applyInPandas(pack, f"`{query_key}` {kinds[query_key]}, `{article}` {kinds[article]}, id {kinds['id']}, place int, tokens bigint, cut boolean")
-
-
-Batches = Iterator[pd.DataFrame]
+            if not parts:
+                continue
+            body = "\n\n".join(parts)
+            need = gap + _tokens(header + body)
+            if used + need > limit:
+                break
+            blocks.append((name, title, url, ids, body, header + body))
+            used += need
+        if blocks and blocks[0][0] == pdf.article_key.iloc[0]:
+            blocks.append(blocks.pop(0))
+        total = _tokens(SEPARATOR.join(b[5] for b in blocks))
+        out = [(pdf[query_key].iloc[0], i, *b[:5], total) for i, b in enumerate(blocks, 1)]
+        return pd.DataFrame(out, columns=[query_key, "place", "article", "title", "url", "ids", "text", "used"])
+
+    need = ("id", "article_key", "title", "doc_name", "url", "text", "section_idx", "chunk_idx", rank)
+    return rows.select(query_key, *need).groupBy(query_key).applyInPandas(pack, f"`{query_key}` {kinds[query_key]}, place int, article string, title string, url string, ids array<{kinds['id']}>, text string, used bigint")
+
+
+def prompt_context(blocks: DataFrame, query_key: str = "query_id") -> DataFrame:
+    """(query_key, context): packed articles (place, title, url, text) as the numbered blocks of a prompt, texts escaped."""
+    part = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{name}: "), c))
+    body = F.concat_ws("\n", F.concat(F.lit("[ARTICLE id="), F.col("place"), F.lit("]")), part("title", F.col("title")), part("url", F.col("url")), F.lit("content:"), F.lit('"""'), escaped(F.col("text")), F.lit('"""'))
+    return blocks.groupBy(query_key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", body.alias("body")))), lambda s: s["body"]), "\n\n").alias("context"))

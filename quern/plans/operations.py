@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import dense as dn
 from quern.operators import metrics as mt
 from quern.operators import state as st
-from quern.plans.retrieval import DIM, MODEL, corpus, table
+from quern.operators import embeddings as em
+from quern.plans.retrieval import DIM, MODEL, chunk_texts, table
+from quern.plans.session import cut_lineage
 
 
 def _samples(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,11 +30,11 @@ def metric_histograms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def metric_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return mt.summary(_samples(spark, folder)).select("name", *(F.round(c, 6).alias(c) for c in ("counter", "mean", "p95")))
+    return mt.summary(cut_lineage(_samples(spark, folder))).select("name", *(F.round(c, 6).alias(c) for c in ("counter", "mean", "p95")))
 
 
 def metric_exposition(spark: SparkSession, folder: str) -> DataFrame:
-    return mt.exposition(_samples(spark, folder)).withColumn("value", F.round("value", 6))
+    return mt.exposition(cut_lineage(_samples(spark, folder))).withColumn("value", F.round("value", 6))
 
 
 def metric_windows(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,20 +70,28 @@ def circuit_breaker(spark: SparkSession, folder: str) -> DataFrame:
     return st.breaker_states(rows, "collector", "ok", "ts", ["name"], ["collector", "ts", "name"])
 
 
+def _cache(spark: SparkSession, folder: str) -> DataFrame:
+    return em.cache(table(spark, folder, "embedding_responses"), MODEL, DIM)
+
+
 def embedding_cache(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest usable vector of each content hash, by id."""
-    rows = table(spark, folder, "embedding_responses").where((F.col("model") == MODEL) & F.col("hash").isNotNull() & dn.usable(F.col("embedding"), DIM))
-    return rows.groupBy("hash").agg(F.max(F.struct("created_at", "vec_id")).alias("s"), F.count("*").alias("n")).select("hash", F.col("s.vec_id").alias("vec_id"), "n")
+    """The newest usable vector of each content hash, by id, with the number of usable ones."""
+    return _cache(spark, folder).select("hash", "vec_id", "n")
+
+
+def cache_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every chunk with the cached vector of its content, if there is one: a changed text with an old vector is a miss."""
+    return em.lookup(chunk_texts(spark, folder), _cache(spark, folder)).select("id", "hash", "vec_id")
 
 
 def cache_misses(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunks without a usable vector: what an incremental build embeds."""
-    return corpus(spark, folder).join(dn.latest_vectors(table(spark, folder, "embedding_responses"), MODEL, DIM).withColumnRenamed("chunk_id", "id"), "id", "left_anti").select("id")
+    """Contents without a usable vector: what an incremental build embeds."""
+    return em.misses(chunk_texts(spark, folder), _cache(spark, folder)).select("hash")
 
 
 def cache_prune(spark: SparkSession, folder: str) -> DataFrame:
-    """Vectors whose chunk is not in the corpus any more."""
-    return table(spark, folder, "embedding_responses").join(corpus(spark, folder).select(F.col("id").alias("chunk_id")), "chunk_id", "left_anti").select("vec_id")
+    """Vectors of the cache whose content is in no chunk any more."""
+    return em.stale(chunk_texts(spark, folder), _cache(spark, folder)).select("hash", "vec_id")
 
 
 _S = """with s as (select distinct kind, name, case when labels is null or cardinality(labels) = 0 then '' else '{' || array_to_string(list_transform(list_sort(map_entries(labels)), lambda e: e.key || '=' || coalesce(e.value, '')), ',') || '}' end as labels, ts, received_at, value, collector
@@ -106,7 +115,8 @@ SQL = {
       select level, any_value(n) as n, round(avg(x), 6) as mean, round(median(x), 6) as median, round(stddev_samp(x), 6) as stdev, round(min(x), 6) as min, round(max(x), 6) as max, round(max(x) filter (where r = least(floor(n*0.95)+1, n)), 6) as p95 from o group by level""",
     "late_events": "select collector, count(*) as n, count(*) filter (where epoch_us(received_at) - epoch_us(ts) > 60000000) as late from (select distinct ts, received_at, collector, kind, name, case when labels is null or cardinality(labels) = 0 then '' else array_to_string(list_transform(list_sort(map_entries(labels)), lambda e: e.key || '=' || coalesce(e.value, '')), ',') end as labels, value from metric_events) group by collector",
     "embedding_cache": f"select hash, vec_id, n from (select hash, vec_id, count(*) over (partition by hash) as n, row_number() over (partition by hash order by created_at desc nulls last, vec_id desc) as r from embedding_responses where hash is not null and {_OK}) where r = 1",
-    "cache_misses": f"select id from (select distinct id from chunks where id is not null) where id not in (select chunk_id from embedding_responses where chunk_id is not null and {_OK})",
-    "cache_prune": "select vec_id from embedding_responses where chunk_id is null or chunk_id not in (select id from chunks where id is not null)",
+    "cache_lookup": f"with k as (select distinct id, left(sha1(text), 16) as hash from chunks where id is not null and text is not null), v as (select hash, vec_id from (select hash, vec_id, row_number() over (partition by hash order by created_at desc nulls last, vec_id desc) as r from embedding_responses where hash is not null and {_OK}) where r = 1) select id, hash, vec_id from k left join v using (hash)",
+    "cache_misses": f"select distinct left(sha1(text), 16) as hash from chunks where id is not null and text is not null and left(sha1(text), 16) not in (select hash from embedding_responses where hash is not null and {_OK})",
+    "cache_prune": f"select hash, vec_id from (select hash, vec_id, row_number() over (partition by hash order by created_at desc nulls last, vec_id desc) as r from embedding_responses where hash is not null and {_OK}) where r = 1 and hash not in (select left(sha1(text), 16) from chunks where id is not null and text is not null)",
 }
-QUERIES = (metric_counters, metric_gauges, metric_histograms, metric_summary, metric_exposition, metric_windows, latency_summary, late_events, rate_limit, query_cache, circuit_breaker, embedding_cache, cache_misses, cache_prune)
+QUERIES = (metric_counters, metric_gauges, metric_histograms, metric_summary, metric_exposition, metric_windows, latency_summary, late_events, rate_limit, query_cache, circuit_breaker, embedding_cache, cache_lookup, cache_misses, cache_prune)

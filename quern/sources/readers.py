@@ -98,7 +98,10 @@ def read_synonyms(spark: SparkSession, path: str, most: int = 10_000) -> DataFra
     """(term, ord, synonym) from a JSON object of lists: terms in lower case, synonyms trimmed, empty ones left out."""
     rows = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "map<string,array<string>>").alias("m"))
     terms = rows.select(F.explode("m").alias("term", "more")).select(F.lower(F.trim("term")).alias("term"), F.posexplode("more").alias("ord", "synonym"))
-    return terms.select("term", "ord", F.trim("synonym").alias("synonym")).where("term <> '' and synonym <> ''").limit(most)
+    rows = terms.select("term", "ord", F.trim("synonym").alias("synonym")).where("term <> '' and synonym <> ''")
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} synonyms")
+    return rows
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:

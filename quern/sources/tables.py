@@ -4,30 +4,46 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.text import terms
 from quern.operators.lexical import idf, term_counts
 
+POINTER = "version string, signature string, model string, dim int, built_at string, rows bigint"
+
 
 @dataclass(frozen=True)
 class Index:
-    """Folders of an index below `root`; a build writes a version and then the pointer to it, so readers never see half of one."""
+    """Folders of an index below `root`; a build writes a version and then adds a pointer to it, a new file that replaces none, so readers never see half of one."""
 
     root: str
 
-    def version(self, spark: SparkSession) -> str | None:
+    def about(self, spark: SparkSession) -> dict | None:
+        """What the newest pointer says: version, signature, model, dim, built_at and rows; None where nothing was built."""
         try:
-            rows = spark.read.json(f"{self.root}/current").limit(1).collect()
-        except Exception:  # noqa: BLE001  no index yet
-            return None
-        return rows[0]["version"] if rows else None
-
-    def read(self, spark: SparkSession, table: str) -> DataFrame:
-        version = self.version(spark)
-        if version is None:
+            pointers = spark.read.schema(POINTER).json(f"{self.root}/pointers")
+        except AnalysisException as error:
+            if "PATH_NOT_FOUND" in str(error):
+                return None
+            raise
+        rows = pointers.orderBy(F.desc("built_at"), F.desc("version")).limit(1).collect()
+        return rows[0].asDict() if rows else None
+
+    def version(self, spark: SparkSession) -> str | None:
+        found = self.about(spark)
+        return found["version"] if found else None
+
+    def read(self, spark: SparkSession, table: str, model: str | None = None, dim: int | None = None) -> DataFrame:
+        """A table of the newest version; an index of another model or vector length than asked for is an error."""
+        found = self.about(spark)
+        if found is None:
             raise FileNotFoundError(f"no index in {self.root}")
+        for name, asked in (("model", model), ("dim", dim)):
+            if asked is not None and found[name] != asked:
+                raise ValueError(f"the index was built with {name} {found[name]!r}, not {asked!r}")
+        version = found["version"]
         return spark.read.parquet(f"{self.root}/{version}/{table}")
 
 
@@ -52,15 +68,21 @@ def build(index: Index, chunks: DataFrame, vectors: DataFrame, built: str, versi
     df.crossJoin(F.broadcast(total)).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf")).write.mode("overwrite").parquet(f"{at}/terms")
     vectors.withColumn("embedding", F.col("embedding").cast("array<float>")).write.mode("overwrite").parquet(f"{at}/vectors")
     spark = chunks.sparkSession
-    about = spark.createDataFrame([(version, corpus_signature, model, built)], "version string, signature string, model string, built_at string")
-    about.coalesce(1).write.mode("overwrite").json(f"{index.root}/current")
+    rows = stored.count()
+    found = spark.read.parquet(f"{at}/vectors").select(F.size("embedding").alias("d")).limit(1).collect()
+    about = spark.createDataFrame([(version, corpus_signature, model, found[0]["d"] if found else None, built, rows)], POINTER)
+    about.coalesce(1).write.mode("append").json(f"{index.root}/pointers")
 
 
 def fresh(index: Index, spark: SparkSession, corpus_signature: str, model: str) -> bool:
-    """Whether the current version was built from this corpus with this model."""
-    if index.version(spark) is None:
-        return False
-    return spark.read.json(f"{index.root}/current").where((F.col("signature") == corpus_signature) & (F.col("model") == model)).limit(1).count() == 1
+    """Whether the newest version was built from this corpus with this model."""
+    found = index.about(spark)
+    return found is not None and found["signature"] == corpus_signature and found["model"] == model
+
+
+def write_embedding_cache(rows: DataFrame, path: str) -> None:
+    """Vectors (hash, embedding, backend, model) as JSON lines with their length, what `readers.read_embedding_cache` reads; an existing folder is replaced once all files are written."""
+    rows.select("hash", F.col("embedding").cast("array<float>").alias("embedding"), "backend", "model", F.size("embedding").alias("dim")).write.mode("overwrite").json(path)
 
 
 def append_log(rows: DataFrame, path: str, keep_text: bool = False, most_rows: int = 1_000_000) -> None:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import chunking, dense, lexical, metrics, ranking, state
+from quern.operators import chunking, dense, lexical, metrics, ranking, references, state
 from quern.operators.components import connected_components
 
 
@@ -41,10 +41,11 @@ def test_top_breaks_ties_by_key(spark):
 
 def test_expand(spark):
     q = spark.createDataFrame([(1, "lock tags"), (2, "nothing")], "query_id int, query string")
-    s = spark.createDataFrame([("tags", 0, "labels"), ("lock", 0, "freeze"), ("lock", 1, "labels")], "term string, ord int, synonym string")
+    s = spark.createDataFrame([(0, "tags", 0, "labels"), (1, "lock", 0, "freeze"), (1, "lock", 1, "labels")], "place int, term string, ord int, synonym string")
     got = {r.query_id: r.expanded for r in lexical.expand(q, s).collect()}
-    assert got == {1: "lock tags freeze labels", 2: "nothing"}
-    assert lexical.expand(q, s, most=12).where("query_id = 1").first().expanded == "lock tags"
+    assert got == {1: "lock tags labels freeze", 2: "nothing"}
+    assert lexical.expand(q, s, most=18).where("query_id = 1").first().expanded == "lock tags labels"
+    assert lexical.expand(q, s, most=9).where("query_id = 1").first().expanded == "lock tags"
 
 
 @pytest.fixture(scope="module")
@@ -83,18 +84,51 @@ def test_inverted_file_recall(spark):
     assert hits >= 0.9 * 300
 
 
-def test_hybrid_counts_missing_as_zero(spark):
+def test_fusion_counts_missing_as_zero_and_weighs_hubs(spark):
     bm = spark.createDataFrame([(1, "a", 4.0), (1, "b", 2.0)], "query_id int, id string, bm25 double")
-    dn = spark.createDataFrame([(1, k, v) for k, v in zip("abcd", (0.1, 0.9, 0.5, 0.3))], "query_id int, id string, dense double")
-    rows = {r.id: r.hybrid for r in ranking.hybrid(bm, dn, dn.select("id"), k=4).collect()}
-    b, d = np.array([4.0, 2, 0, 0]), np.array([0.1, 0.9, 0.5, 0.3])
-    expected = 0.5 * (b - b.mean()) / b.std() + 0.5 * (d - d.mean()) / d.std()
+    d = np.array([0.1, 0.9, 0.5, 0.3])
+    found = spark.createDataFrame([(1, k, k == "b", v) for k, v in zip("abcd", d.tolist())], "query_id int, id string, flag boolean, dense double")
+    moments = spark.createDataFrame([(1, 4, float(d.mean()), float(d.std()))], "query_id int, n bigint, mean double, dev double")
+    rows = {r.id: r.hybrid for r in ranking.fuse(bm, found, moments, k=4, factor=0.6).collect()}
+    b = np.array([4.0, 2, 0, 0])
+    expected = (0.5 * (b - b.mean()) / b.std() + 0.5 * (d - d.mean()) / d.std()) * np.array([1, 0.6, 1, 1])
     assert all(abs(rows[k] - e) < 1e-8 for k, e in zip("abcd", expected))
 
 
+def test_profile_of_both_flags(spark, space):
+    rows = spark.createDataFrame([(i, [float(v) for v in x], i % 50 == 0) for i, x in enumerate(space) if i not in (3, 4, 5)], "id int, embedding array<float>, hub boolean")
+    queries = rows.where("id in (0, 10)").withColumnRenamed("id", "query_id")
+    best, moments = dense.dense_profile(queries, rows, 4, F.col("hub"))
+    x = np.delete(space, [3, 4, 5], axis=0).astype("f4").astype(float)
+    ids = np.delete(np.arange(len(space)), [3, 4, 5])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for q in (0, 10):
+        cos = x @ x[list(ids).index(q)]
+        m = moments.where(f"query_id = {q}").first()
+        assert m.n == len(ids) and abs(m["mean"] - cos.mean()) < 1e-9 and abs(m.dev - cos.std()) < 1e-9
+        for flag in (False, True):
+            own = [(-c, i) for c, i in zip(cos, ids) if (i % 50 == 0) == flag]
+            got = {r.id for r in best.where(f"query_id = {q} and flag = {flag}").collect()}
+            assert {int(i) for _, i in sorted(own)[:4]} <= got
+
+
+def test_bm25_ways_agree(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    docs = spark.createDataFrame([(i, " ".join(f"t{w}" for w in rng.integers(0, 30, rng.integers(0, 20)))) for i in range(300)] + [(7, None)], "id int, text string")
+    queries = spark.createDataFrame([(i, " ".join(f"t{w}" for w in rng.integers(0, 30, 4))) for i in range(5)], "query_id int, query string")
+    one = {(r.query_id, r.id): r.bm25 for r in lexical.bm25(queries, docs).collect()}
+    best = lexical.top(lexical.bm25(queries, docs, keep=3), 3, "bm25").collect()
+    monkeypatch.setattr(lexical, "PAIRS", 2)
+    two = {(r.query_id, r.id): r.bm25 for r in lexical.bm25(queries, docs).collect()}
+    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-9 for k in one)
+    for q in range(5):
+        own = sorted((v for (a, _), v in one.items() if a == q), reverse=True)[:3]
+        assert np.allclose(sorted((r.bm25 for r in best if r.query_id == q), reverse=True), own)
+
+
 def test_equal_scores_have_z_zero(spark):
     rows = spark.createDataFrame([(1, 2.0), (1, 2.0)], "query_id int, s double")
-    r = ranking.z_columns(rows, "s").select(ranking.z(F.lit(2.0), F.col("mean"), F.col("dev")).alias("z")).first()
+    r = rows.groupBy("query_id").agg(F.avg("s").alias("mean"), F.stddev_pop("s").alias("dev")).select(ranking.z(F.lit(2.0), F.col("mean"), F.col("dev")).alias("z")).first()
     assert r.z == 0
 
 
@@ -120,11 +154,64 @@ def test_ranking_quality(spark):
     assert got[2].mrr == got[3].ndcg == 0
 
 
-def test_packing(spark):
-    rows = spark.createDataFrame([(1, "a", "x1", 2, 0, 1, 40), (1, "b", "y1", None, None, 2, 30), (1, "a", "x0", 1, 0, 3, 30)], "query_id int, article string, id string, section_idx int, chunk_idx int, rank int, tokens int")
-    got = [(r.id, r.tokens, r.cut) for r in ranking.pack_articles(rows, 80).orderBy("place").collect()]
-    assert got == [("y1", 10, True), ("x0", 30, False), ("x1", 40, False)]
-    assert [r.id for r in ranking.pack_by_budget(rows, 110).orderBy("rank").collect()] == ["x1", "y1"]
+PACK = "query_id int, id string, article_key string, title string, doc_name string, url string, text string, section_idx int, chunk_idx int, rank int"
+
+
+def test_articles_are_packed_in_document_order_best_last(spark):
+    rows = [(1, "x1", "A", "Art A", None, "u/a", "second part", 2, 0, 1), (1, "y1", "B", None, "Doc B", None, "other", None, None, 2), (1, "x0", "A", "Art A", None, "u/a", "first part", 1, 0, 3)]
+    got = ranking.pack_articles(spark.createDataFrame(rows, PACK), 1000).orderBy("place").collect()
+    assert [(r.article, r.title, r.url, r.ids, r.text) for r in got] == [("B", "Doc B", "B", ["y1"], "other"), ("A", "Art A", "u/a", ["x0", "x1"], "first part\n\nsecond part")]
+    whole = "### Article: Doc B\nURL: B\n\nother" + ranking.SEPARATOR + "### Article: Art A\nURL: u/a\n\nfirst part\n\nsecond part"
+    assert {r.used for r in got} == {math.ceil(len(whole) / 3.5)}
+    context = ranking.prompt_context(ranking.pack_articles(spark.createDataFrame(rows, PACK), 1000)).first().context
+    assert context.startswith("[ARTICLE id=1]\ntitle: Doc B\nurl: B\ncontent:\n\"\"\"\nother") and "[ARTICLE id=2]" in context
+
+
+def test_an_article_beyond_the_budget_is_cut(spark):
+    rows = [(1, "a", "A", "A", None, "u", "alpha " * 200, 1, 1, 1), (1, "b", "B", "B", None, "v", "beta " * 200, 1, 1, 2)]
+    got = ranking.pack_articles(spark.createDataFrame(rows, PACK), 12_000, context=50).collect()
+    assert [(r.ids, r.text.endswith("..."), r.used <= 30) for r in got] == [(["a"], True, True)]
+    assert ranking.pack_articles(spark.createDataFrame(rows, PACK), 0).count() == 0
+
+
+def test_dynamic_packing(spark):
+    rows = [(1, f"c{i}", i, 40) for i in range(1, 6)] + [(2, "big", 1, 500), (2, "more", 2, 5)]
+    df = spark.createDataFrame(rows, "query_id int, id string, rank int, tokens int")
+    got = [(r.query_id, r.id, r.used, r.truncated) for r in ranking.pack_by_budget(df, 200).orderBy("query_id", "rank").collect()]
+    assert got == [(1, "c1", 56, False), (1, "c2", 112, False), (1, "c3", 168, False), (2, "big", 500, True)]
+    got = [(r.query_id, r.id, r.used) for r in ranking.pack_by_budget(df, 160, share=1.0).orderBy("query_id", "rank").collect()]
+    assert got == [(1, "c1", 56), (1, "c2", 112), (1, "[TRUNCATED]", 112), (2, "big", 500)]
+
+
+def test_confidence_steps(spark):
+    lists = {1: [0.9, 0.85, 0.8], 2: [0.9, 0.1], 3: [0.1], 4: [0.0, 0.0], 5: [5.0, 4.0, 3.0]}
+    df = spark.createDataFrame([(q, s) for q, ss in lists.items() for s in ss], "query_id int, hybrid double")
+    got = {r.query_id: r.confidence for r in ranking.confidence(df).collect()}
+    assert got == {1: 100, 2: 82, 3: 6, 4: 0, 5: 100}
+
+
+def test_labels(spark):
+    chunks = spark.createDataFrame([("a", "Set  up", "One"), ("b", "set up", "two"), ("c", "Other", None)], "id string, title string, section string")
+    labels = spark.createDataFrame([(1, "a", None, None), (1, "gone", None, None), (2, None, "SET UP", "Two"), (3, None, "set up", "none such"), (4, None, "other", None), (5, None, "nowhere", "x")], "query_id int, chunk_id string, title string, section string")
+    got = sorted((r.query_id, r.id) for r in references.resolve_labels(labels, chunks).collect())
+    assert got == [(1, "a"), (2, "b"), (3, "a"), (3, "b"), (4, "c")]
+
+
+def test_sources_are_matched(spark):
+    context = spark.createDataFrame([(1, 0, "https://h.example/a/b/"), (1, 1, "https://h.example/a"), (1, 2, "https://H.example/a/b#x"), (2, 0, None)], "r int, place int, url string")
+    named = spark.createDataFrame([(1, "HTTPS://h.example/a/b#top"), (1, "https://h.example/a/"), (1, "h.example/a/b/c/"), (1, "https://other.example"), (2, "x")], "r int, source string")
+    got = {r.source: r.url for r in references.match_sources(named, context, "r").collect()}
+    assert got == {"HTTPS://h.example/a/b#top": "https://h.example/a/b/", "https://h.example/a/": "https://h.example/a"}
+
+
+def test_values_at_ranks(spark):
+    rng = np.random.default_rng(2)
+    values = {"a": rng.normal(size=501).tolist(), "b": [3.0] * 20, "c": [1.0]}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs] + [("a", None)], "k string, v double")
+    got = {r.k: r for r in metrics.bench_summary(df, "k", "v").collect()}
+    for k, vs in values.items():
+        vs = sorted(vs)
+        assert got[k].n == len(vs) and got[k].p95 == vs[min(int(0.95 * len(vs)), len(vs) - 1)] and abs(got[k].median - np.median(vs)) < 1e-12
 
 
 def test_windows(spark):

@@ -2,8 +2,11 @@ import io
 import json
 import zipfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
+from quern.operators import embeddings
 from quern.plans import providers
 from quern.sources import readers, tables
 
@@ -39,6 +42,18 @@ def test_caches_and_lists(spark, tmp_path):
     assert [r.question for r in readers.read_questions(spark, str(tmp_path / "q.txt")).collect()] == ["How?"]
 
 
+def test_embedding_cache_by_content(spark, tmp_path):
+    chunks = spark.createDataFrame([("a", "red fox"), ("b", "red sky"), ("b", "red sky"), ("n", None)], "id string, text string")
+    h = {r.id: r.hash for r in embeddings.lookup(chunks, spark.createDataFrame([], "hash string, vec_id bigint, embedding array<float>")).collect()}
+    rows = [(1, h["a"], "m", [1.0, 0.0], "2024-01-01"), (2, h["a"], "m", [0.0, 1.0], "2024-01-02"), (3, "gone", "m", [1.0, 1.0], "2024-01-01"), (4, h["b"], "m", [0.0, 0.0], "2024-01-01"), (5, None, "m", [1.0, 1.0], "2024-01-01")]
+    responses = spark.createDataFrame(rows, "vec_id bigint, hash string, model string, embedding array<float>, created_at string")
+    cached = embeddings.cache(responses, "m", 2)
+    assert {r.id: r.vec_id for r in embeddings.lookup(chunks, cached).collect()} == {"a": 2, "b": None}
+    assert [r.hash for r in embeddings.misses(chunks, cached).collect()] == [h["b"]] and [r.vec_id for r in embeddings.stale(chunks, cached).collect()] == [3]
+    tables.write_embedding_cache(cached.withColumn("backend", F.lit("l")).withColumn("model", F.lit("m")), str(tmp_path / "cache"))
+    assert {r.hash: r.embedding for r in readers.read_embedding_cache(spark, str(tmp_path / "cache"), 2, "l").collect()} == {h["a"]: [0.0, 1.0], "gone": [1.0, 1.0]}
+
+
 def test_index_versions(spark, tmp_path):
     chunks = spark.createDataFrame([("a", "red fox"), ("b", "red sky")], "id string, text string")
     vectors = spark.createDataFrame([("a", [1.0, 0.0])], "id string, embedding array<double>")
@@ -47,6 +62,12 @@ def test_index_versions(spark, tmp_path):
     assert not tables.fresh(index, spark, sign, "m")
     tables.build(index, chunks, vectors, "2024-01-01T00:00:00Z", "v1", sign, "m")
     assert tables.fresh(index, spark, sign, "m") and not tables.fresh(index, spark, sign, "other")
+    tables.build(index, chunks.limit(1), vectors, "2024-01-02T00:00:00Z", "v2", "other corpus", "m")
+    assert index.version(spark) == "v2" and not tables.fresh(index, spark, sign, "m")
+    tables.build(index, chunks, vectors, "2024-01-03T00:00:00Z", "v3", sign, "m")
+    assert index.read(spark, "chunks", model="m", dim=2).count() == 2
+    with pytest.raises(ValueError):
+        index.read(spark, "vectors", dim=3)
     assert {r.term: r.df for r in index.read(spark, "terms").collect()} == {"red": 2, "fox": 1, "sky": 1}
     assert sign == tables.signature(chunks.orderBy(F.desc("id")), "id", "text").first().signature
 
