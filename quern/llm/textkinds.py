@@ -28,6 +28,8 @@ STAY = {"prose": 0.80, "list": 0.86, "table": 0.90, "junk": 0.86}
 _WORD = re.compile(r"[^\W_]+")
 _MARK = re.compile(r"^\s*(?:[-*+•–—▪◦‣·]|\[[ xX]?\]|\(?(?:\d{1,4}|[a-zA-Z])[.)]|#\d+)\s+(?=\S)")
 _GAPS = re.compile(r"\S(?: {2,}|\t)(?=\S)|\S {3,}$")
+_WIDE = re.compile(r"\S {4,}\S")
+_COMMA = re.compile(r"[^\s,],(?=[^\s])|,,")
 _ENDS = re.compile(r"""[.!?…。:;][)\]}"'”’»]*(?:\s*[:;]-?[)(DP])?$""")
 _SCRAP = re.compile(r"^(?:\W+|\W*(?:nan|null|undefined|none|object|0x[0-9a-f]+|nbsp|%%\w+%%|lorem)\b(?:\W+|nan|null|undefined|none|object|nbsp|0x[0-9a-f]+)*)$", re.I)
 _CODE = re.compile(r"[{};]\s*$|^\s*[.#][\w-]+\s*\{|^\s*</?\w+[^>]*>\s*$|:\s*[^\s;]+;")
@@ -108,11 +110,11 @@ def _dirty(line: str, n: int) -> bool:
 def fields_of(line: str) -> int:
     """Separators between fields of a row: bars, tabs, wide gaps, semicolons or commas without a space behind."""
     bars, tabs, semis = line.count("|"), line.count("\t"), line.count(";")
-    commas = len(re.findall(r"[^\s,],(?=[^\s])|,,", line)) if "," in line else 0
+    commas = len(_COMMA.findall(line)) if line.count(",") > line.count(", ") else 0  # each one before a space: none counts
     gaps = len(_GAPS.findall(line.strip())) if "  " in line or tabs else 0
-    if re.search(r"\S {4,}\S", line):
+    if "    " in line and _WIDE.search(line):
         gaps = max(gaps, 2)  # columns of fixed width, some of them empty
-    return max(bars, tabs, gaps, semis if not re.search(r"; ", line) else 0, commas)
+    return max(bars, tabs, gaps, semis if "; " not in line else 0, commas)
 
 
 def line_scores(line: str, words: list[str], alpha: int, solid: int, frequent: int, ends: bool, strange: bool, again: bool = False) -> tuple[float, float, float, float]:
@@ -122,7 +124,8 @@ def line_scores(line: str, words: list[str], alpha: int, solid: int, frequent: i
     share = frequent / n if n else 0.0
     mark = bool(_MARK.match(line))
     fields = fields_of(line)
-    longest = max(map(len, words), default=0)
+    sizes = list(map(len, words))
+    longest = max(sizes, default=0)
     prose = listed = table = junk = 0.0
     if n == 0 or alpha == 0:
         if "|" in line and not again and re.fullmatch(r"[\s|:+=-]+", line):
@@ -135,7 +138,7 @@ def line_scores(line: str, words: list[str], alpha: int, solid: int, frequent: i
         table += 1.0
         prose -= 1.0
         listed -= 1.5
-    single = sum(len(w) == 1 for w in words) / n
+    single = sizes.count(1) / n
     junk += 12.0 if again else -1.8
     if symbols > 0.45:
         junk += 6.0 * symbols + (1.0 if fields < 2 else -2.0)
