@@ -78,63 +78,109 @@ def _front_matter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("article"), batch.column("body"), pa.array(meta, pa.map_(pa.string(), pa.string()))], ["path", "article", "body", "meta"])
 
 
-def pack_units(units: list[str], size: int) -> list[str]:
-    """Units put together in order, as many to a piece as fit; a longer unit stays a piece of its own."""
-    out: list[str] = []
-    for unit in units:
-        if out and len(out[-1]) + len(unit) <= size:
-            out[-1] += unit
-        else:
-            out.append(unit)
-    return out
+# What starts a new unit of a text (a blank line, a bullet, a numbered item, a heading below the first level), and the sections that matter most.
+UNIT = r"(?U)(\n\s*\n|\n\s*[-*]\s+|\n\s*\d+\.\s+|\n#{2,}\s+)"
+IMPORTANT = ("key points", "limits & gotchas", "canonical answer")
+#: No character of any text: stands before the start of a unit.
+_MARK = "\uffff"
+_NONE = "array<string>"
 
 
-def boundary_pieces(text: str, size: int, overlap: int) -> list[str]:
-    """Pieces of at most `size` characters: packed from blocks (blank lines, bullets, numbered items, headings), oversize blocks from sentences with an overlap of whole sentences, oversize sentences as windows."""
-    if len(text) <= size:
-        return [text] if text.strip() else []
-    out = []
-    for piece in pack_units([u for u in re.split(r"(?=\n\s*\n)|(?=\n\s*[-*•]\s)|(?=\n\s*\d+[.)]\s)|(?=\n#{2,6}\s)", text) if u], size):
-        if len(piece) <= size:
-            out.append(piece.strip())
-            continue
-        now: list[str] = []
-        for sentence in (s for s in re.split(r"(?<=[.!?])\s+", piece.strip()) if s):
-            while len(sentence) > size:
-                if now:
-                    out.append(" ".join(now))
-                    now = []
-                out.append(sentence[:size].strip())
-                sentence = sentence[size - overlap :]
-            if now and len(" ".join(now)) + 1 + len(sentence) > size:
-                out.append(" ".join(now))
-                while now and (len(" ".join(now)) > overlap or len(" ".join(now)) + 1 + len(sentence) > size):
-                    now.pop(0)
-            now.append(sentence)
-        if now:
-            out.append(" ".join(now))
-    return [p for p in out if p.strip()]
-
-
-def build_chunks(docs: DataFrame, path: str = "path", text: str = "text", size: int = 1600, overlap: int = 200) -> DataFrame:
-    """Chunks of marked-up documents: article_id, title, url, section, subsection, text (after a context line), section_idx, chunk_idx, char_count, word_count, metadata and id.
-
-    Documents are taken apart by nested explodes; only the packing of a
-    section's blocks runs in Python, in Arrow batches.
+def _texts(*parts: Column) -> Column:
+    return F.array(*parts).cast(_NONE)
+
+
+def _whole(parts: Column) -> Column:
+    """Stripped parts, blank ones left out."""
+    return F.filter(F.transform(parts, tx.stripped), lambda x: x != "")
+
+
+def _windows(text: Column, size: int, overlap: int) -> Column:
+    """The windows of `character_windows` as an array."""
+    last = F.when(F.length(text) <= size, F.lit(0)).otherwise(F.ceil((F.length(text) - overlap) / F.lit(size - overlap)) - 1).cast("int")
+    return _whole(F.transform(F.sequence(F.lit(0), last), lambda w: F.substring(text, w * (size - overlap) + 1, F.lit(size))))
+
+
+def packed_units(text: Column, size: int) -> Column:
+    """Units of a text put together in order, as many to a piece as fit; a longer unit is a piece of its own. A unit holds the separator it starts with."""
+    units = F.filter(F.split(F.regexp_replace(text, UNIT, _MARK + "$1"), _MARK), lambda u: tx.stripped(u) != "")
+
+    def add(state: Column, unit: Column) -> Column:
+        full = (state["now"] != "") & (F.length(state["now"]) + F.length(unit) > size)
+        return F.struct(F.when(full, F.array_append(state["done"], state["now"])).otherwise(state["done"]).alias("done"), F.when(full, unit).otherwise(F.concat(state["now"], unit)).alias("now"))
+
+    return F.aggregate(units, F.struct(_texts().alias("done"), F.lit("").alias("now")), add, lambda state: _whole(F.array_append(state["done"], state["now"])))
+
+
+def packed_sentences(text: Column, size: int, overlap: int) -> Column:
+    """Sentences (cut after . ! ? before white space) put together with single spaces, as many to a piece as fit; a piece starts with the last sentences of the one before that fit in `overlap` and leave room. Longer sentences are cut into windows."""
+    line = lambda parts: F.array_join(parts, " ")
+    close = lambda state: F.when(F.size(state["now"]) > 0, F.array_append(state["done"], line(state["now"]))).otherwise(state["done"])
+
+    def tail(now: Column, sentence: Column) -> Column:
+        def keep(state: Column, x: Column) -> Column:
+            n = state["n"] + F.length(x)
+            fits = state["open"] & (n <= overlap) & (n + 1 + F.length(sentence) <= size)
+            return F.struct(F.when(fits, F.array_prepend(state["kept"], x)).otherwise(state["kept"]).alias("kept"), F.when(fits, n + 1).otherwise(state["n"]).alias("n"), fits.alias("open"))
+
+        return F.aggregate(F.reverse(now), F.struct(_texts().alias("kept"), F.lit(0).alias("n"), F.lit(True).alias("open")), keep, lambda state: state["kept"])
+
+    def add(state: Column, sentence: Column) -> Column:
+        long = F.length(sentence) > size
+        full = (F.size(state["now"]) > 0) & (F.length(line(state["now"])) + 1 + F.length(sentence) > size)
+        done = F.when(long, F.concat(close(state), _windows(sentence, size, overlap))).when(full, close(state)).otherwise(state["done"])
+        now = F.when(long, _texts()).when(full, F.array_append(tail(state["now"], sentence), sentence)).otherwise(F.array_append(state["now"], sentence))
+        return F.struct(done.alias("done"), now.alias("now"))
+
+    sentences = F.filter(F.split(text, r"(?U)(?<=[.!?])\s+"), lambda x: x != "")
+    return F.aggregate(sentences, F.struct(_texts().alias("done"), _texts().alias("now")), add, lambda state: _whole(close(state)))
+
+
+def boundary_pieces(text: Column, size: int = 1600, overlap: int = 200, sentences: bool = True) -> Column:
+    """A text's pieces of at most `size` characters, as an array; a text within `size` is one piece as it is.
+
+    Longer ones lose noise (`text.without_noise`) and runs of blanks, come in
+    NFKC and are packed from units; a unit over `size` is packed from
+    sentences, or, without `sentences`, cut into windows. Null and blank texts
+    have no pieces. Nothing leaves the row: no shuffle, and an array lives as
+    long as its row.
     """
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cut = [boundary_pieces(t or "", size, overlap) for t in batch.column("body").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "article", "title", "url", "name", "section_idx", "section", "subsection")), pa.array(cut, pa.list_(pa.string()))], ["path", "article", "title", "url", "name", "section_idx", "section", "subsection", "pieces"])
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be smaller than size")
+    plain = F.regexp_replace(tx.nfkc(tx.without_noise(text)), "[ \t]+", " ")
+    cut = lambda p: F.when(F.length(p) <= size, _texts(p)).otherwise(packed_sentences(p, size, overlap) if sentences else _windows(p, size, overlap))
+    return F.when(F.coalesce(tx.stripped(text), F.lit("")) == "", _texts()).when(F.length(text) <= size, _texts(text)).otherwise(F.flatten(F.transform(packed_units(plain, size), cut)))
+
+
+def importance(section: Column) -> Column:
+    """high for the listed sections, medium where the label has faq in it, else null."""
+    return F.when(F.lower(section).isin(*IMPORTANT), "high").when(F.lower(section).contains("faq"), "medium")
 
-    a = articles(docs, path, text)
+
+def build_chunks(docs: DataFrame, path: str = "path", text: str = "text", size: int = 1600, overlap: int = 200, sentences: bool = True, title_suffix: str = "") -> DataFrame:
+    """Chunks of marked-up documents: id, article_id, title, url, section, subsection, text (after a context line), doc_path, doc_name, section_idx, chunk_idx, char_count, word_count and metadata.
+
+    Documents are taken apart by nested explodes. A section's label is its
+    first line without heading marks; the context line is title (without
+    `title_suffix`), label and first subsection. Blank bodies have no chunks.
+    The id ends in a digest of slug, places and text.
+    """
+    meta = lambda k: F.when(F.col("meta")[k] != "", F.col("meta")[k])
     stem = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.[^.]+$", "")
-    a = a.select("path", "article", tx.fold_space(F.col("title")).alias("title"), "url", F.coalesce(F.col("meta")["id"], F.col("meta")["slug"], stem).alias("name"), F.posexplode(tx.sections(F.col("body"))).alias("section_idx", "body"))
-    heading = tx.heading_label(F.regexp_extract("body", r"^(##[^\n]*)", 1))
-    a = a.withColumn("section", F.when(heading != "", heading).otherwise(F.col("title"))).withColumn("subsection", F.coalesce(F.try_element_at(tx.subheadings(F.col("body")), F.lit(1)), F.lit("")))
-    cut = a.mapInArrow(pieces, "path string, article int, title string, url string, name string, section_idx int, section string, subsection string, pieces array<string>")
-    rows = cut.select("*", F.posexplode("pieces").alias("chunk_idx", "piece")).drop("pieces")
-    crumb = F.concat_ws(" > ", F.array_distinct(F.filter(F.array("title", "section", "subsection"), lambda x: x != "")))
-    whole = F.concat(F.lit("Context: "), crumb, F.lit("\n\n"), F.col("piece"))
-    rows = rows.withColumn("text", whole)
-    return rows.select(chunk_id(F.col("name"), F.col("section_idx"), F.col("chunk_idx"), F.col("text")).alias("id"), F.col("name").alias("article_id"), "title", "url", "section", "subsection", "text", F.col("path").alias("doc_path"), "section_idx", "chunk_idx", F.length("text").alias("char_count"), F.size(F.split(tx.fold_space(F.col("text")), " ")).alias("word_count"), tx.metadata(F.col("piece")).alias("metadata"))
+    a = articles(docs, path, text).withColumn("doc_name", stem)
+    a = a.withColumn("article_id", F.trim(F.coalesce(meta("id"), meta("slug"), "doc_name"))).withColumn("slug", tx.slug(F.coalesce(meta("slug"), "article_id")))
+    a = a.withColumn("slug", F.when(F.col("slug") != "", F.col("slug")).otherwise(F.col("doc_name")))
+    a = a.select("path", "doc_name", "article_id", "slug", tx.collapsed(F.coalesce(meta("short_title"), meta("title"), "title")).alias("title"), "url", F.posexplode(tx.sections(F.col("body"))).alias("section_idx", "body"))
+    a = a.withColumn("section", tx.collapsed(F.regexp_replace(F.regexp_extract("body", r"^([^\n]*)", 1), r"^#+\s*", ""))).withColumn("subsection", F.coalesce(F.try_element_at(tx.subheadings(F.col("body")), F.lit(1)), F.lit("")))
+    bare = F.trim(F.replace("title", F.lit(title_suffix), F.lit(""))) if title_suffix else F.col("title")
+    label = F.when(F.lower("section") != F.lower(bare), F.col("section"))
+    crumb = F.array_join(F.filter(F.array(bare, F.coalesce(label, F.lit("")), "subsection"), lambda x: x != ""), " > ")
+    rows = a.withColumn("breadcrumb", crumb).select("*", F.posexplode(boundary_pieces(F.col("body"), size, overlap, sentences)).alias("chunk_idx", "piece"))
+    rows = rows.withColumn("text", F.when(F.col("breadcrumb") != "", F.concat(F.lit("Context: "), "breadcrumb", F.lit("\n\n"), "piece")).otherwise(F.col("piece")))
+    digest = F.left(F.sha1(F.concat_ws("|", "slug", F.col("section_idx").cast("string"), F.col("chunk_idx").cast("string"), "text")), F.lit(8))
+    found = tx.metadata(F.col("piece"))
+    about = F.struct(found["dates"].alias("dates"), found["urls"].alias("urls"), found["emails"].alias("emails"), "slug", F.when(F.col("section") != "", F.col("section")).alias("section_type"), importance(F.col("section")).alias("section_importance"), "breadcrumb")
+    return rows.select(
+        F.concat_ws("_", "slug", F.col("section_idx").cast("string"), F.col("chunk_idx").cast("string"), digest).alias("id"), "article_id", "title", "url", "section", "subsection", "text",
+        F.col("path").alias("doc_path"), "doc_name", "section_idx", "chunk_idx", F.length("text").alias("char_count"), F.size(F.split(tx.collapsed(F.col("text")), " ")).alias("word_count"), about.alias("metadata"),
+    )

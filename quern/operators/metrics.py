@@ -79,6 +79,28 @@ def exposition(rows: DataFrame) -> DataFrame:
     return plain.union(flat.select(F.concat("name", "x.suffix"), inner, F.col("x.value")))
 
 
+def export_rows(rows: DataFrame) -> DataFrame:
+    """(metric_type, metric_name, labels, value): what a flat export holds: counters, gauges and the means of histograms."""
+    part = lambda df, kind, value: df.select(F.lit(kind).alias("metric_type"), F.col("name").alias("metric_name"), "labels", F.col(value).alias("value"))
+    return part(counters(rows), "counter", "total").union(part(gauges(rows), "gauge", "value")).union(part(histograms(rows), "histogram_mean", "mean"))
+
+
+def query_records(responses: DataFrame, key: str = "response_id") -> DataFrame:
+    """One flat record a response for a log of queries: lengths, a preview of the question, refusal, confidence, times (0 where unknown) and routing (unknown where there is none)."""
+    size = lambda c: F.coalesce(F.length(c), F.lit(0))
+    time = lambda c: F.coalesce(f"timing.{c}", F.lit(0.0)).alias(c)
+    return responses.select(key, size("question").alias("question_length"), F.left("question", F.lit(100)).alias("question_preview"), size("answer").alias("answer_length"), F.coalesce("refused", F.lit(False)).alias("refused"), "confidence", time("total_ms"), time("retrieve_ms"), time("llm_ms"), F.coalesce("routing.action", F.lit("unknown")).alias("action"), F.coalesce("routing.level", F.lit("unknown")).alias("level"), F.coalesce("routing.escalated", F.lit(False)).alias("escalated"))
+
+
+def profile_summary(profiles: DataFrame) -> DataFrame:
+    """One row of means over retrieval profiles (dense_dot_time_ms, dense_computed, dense_saved, dense_total, candidates, used_faiss, used_hnsw): missing numbers count as 0, the ratio is saved over total, and the kind of search is the first of faiss and hnsw that was used, else linear. No profiles, no row."""
+    n = lambda c: F.coalesce(c, F.lit(0))
+    used = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    total = F.sum(n("dense_total"))
+    g = profiles.agg(F.when(used("used_faiss"), "faiss").when(used("used_hnsw"), "hnsw").otherwise("linear").alias("ann_mode"), F.bround(F.avg(n("dense_dot_time_ms")), 3).alias("dense_dot_ms_mean"), F.bround(F.avg(n("dense_computed")), 2).alias("dense_computed_mean"), F.bround(F.avg(n("dense_saved")), 2).alias("dense_saved_mean"), F.when(total != 0, F.bround(F.sum(n("dense_saved")) / total, 3)).otherwise(0.0).alias("dense_saved_ratio"), F.bround(F.avg(n("candidates")), 2).alias("candidates_mean"), F.count("*").alias("_n"))
+    return g.where("_n > 0").drop("_n")
+
+
 def windowed_counts(events: DataFrame, every: str = "1 hour", late: str = "2 days") -> DataFrame:
     """(window_start, name, n, total): counters per tumbling window of event time; works on streams (with a watermark of `late`) and on tables."""
     rows = events.where("kind = 'counter' and value >= 0 and not isnan(value)")

@@ -37,6 +37,14 @@ def metric_exposition(spark: SparkSession, folder: str) -> DataFrame:
     return mt.exposition(cut_lineage(_samples(spark, folder))).withColumn("value", F.round("value", 6))
 
 
+def metric_export(spark: SparkSession, folder: str) -> DataFrame:
+    return mt.export_rows(cut_lineage(_samples(spark, folder))).withColumn("value", F.round("value", 6))
+
+
+def query_records(spark: SparkSession, folder: str) -> DataFrame:
+    return mt.query_records(table(spark, folder, "query_responses"))
+
+
 def metric_windows(spark: SparkSession, folder: str) -> DataFrame:
     rows = mt.windowed_counts(table(spark, folder, "metric_events"))
     return rows.select(F.unix_seconds("window_start").alias("start"), "name", "n", F.round("total", 6).alias("total"))
@@ -110,6 +118,9 @@ SQL = {
     "metric_summary": f"{_S}, a as (select name, sum(total) as counter from c group by name), b as (select name, sum(mean*count)/sum(count) as mean, max(p95) as p95 from hs group by name) select name, round(counter, 6) as counter, round(mean, 6) as mean, round(p95, 6) as p95 from a full join b using(name)",
     "metric_exposition": f"""{_S} select name as metric, labels, round(total, 6) as value from c union all select name, labels, round(value, 6) from g union all select name || '_count', labels, count from hs union all select name || '_sum', labels, round(mean*count, 6) from hs
       union all select name, {_IN}, round(v, 6) from (select name, labels, 'quantile=0.5' as q, p50 as v from hs union all select name, labels, 'quantile=0.95', p95 from hs union all select name, labels, 'quantile=0.99', p99 from hs)""",
+    "metric_export": f"{_S} select 'counter' as metric_type, name as metric_name, labels, round(total, 6) as value from c union all select 'gauge', name, labels, round(value, 6) from g union all select 'histogram_mean', name, labels, round(mean, 6) from hs",
+    "query_records": """select response_id, coalesce(length(question), 0) as question_length, left(question, 100) as question_preview, coalesce(length(answer), 0) as answer_length, coalesce(refused, false) as refused, confidence, coalesce(timing.total_ms, 0) as total_ms, coalesce(timing.retrieve_ms, 0) as retrieve_ms, coalesce(timing.llm_ms, 0) as llm_ms,
+      coalesce(routing.action, 'unknown') as action, coalesce(routing.level, 'unknown') as level, coalesce(routing.escalated, false) as escalated from query_responses""",
     "metric_windows": "select cast(floor(epoch_us(ts) / 3600000000) as bigint) * 3600 as start, name, count(*) as n, round(sum(value), 6) as total from metric_events where kind = 'counter' and value >= 0 and not isnan(value) and ts is not null group by all",
     "latency_summary": """with r as (select coalesce(routing.level, 'none') as level, processing_time_ms as x from query_responses where processing_time_ms is not null), o as (select *, row_number() over (partition by level order by x) as r, count(*) over (partition by level) as n from r)
       select level, any_value(n) as n, round(avg(x), 6) as mean, round(median(x), 6) as median, round(stddev_samp(x), 6) as stdev, round(min(x), 6) as min, round(max(x), 6) as max, round(max(x) filter (where r = least(floor(n*0.95)+1, n)), 6) as p95 from o group by level""",
@@ -119,4 +130,4 @@ SQL = {
     "cache_misses": f"select distinct left(sha1(text), 16) as hash from chunks where id is not null and text is not null and left(sha1(text), 16) not in (select hash from embedding_responses where hash is not null and {_OK})",
     "cache_prune": f"select hash, vec_id from (select hash, vec_id, row_number() over (partition by hash order by created_at desc nulls last, vec_id desc) as r from embedding_responses where hash is not null and {_OK}) where r = 1 and hash not in (select left(sha1(text), 16) from chunks where id is not null and text is not null)",
 }
-QUERIES = (metric_counters, metric_gauges, metric_histograms, metric_summary, metric_exposition, metric_windows, latency_summary, late_events, rate_limit, query_cache, circuit_breaker, embedding_cache, cache_lookup, cache_misses, cache_prune)
+QUERIES = (metric_counters, metric_gauges, metric_histograms, metric_summary, metric_exposition, metric_export, query_records, metric_windows, latency_summary, late_events, rate_limit, query_cache, circuit_breaker, embedding_cache, cache_lookup, cache_misses, cache_prune)

@@ -140,6 +140,11 @@ def mmr_select(spark: SparkSession, folder: str) -> DataFrame:
     return rk.marginal_relevance(short, 5)
 
 
+def list_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean and best score of every question's list, as a query log keeps them."""
+    return _hybrid(spark, folder).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.avg("hybrid"), 6).alias("mean_score"), F.round(F.max("hybrid"), 6).alias("max_score"))
+
+
 def confidence_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Confidence of every question from its dense scores; fused scores above 1 are clipped and would say the same of most questions."""
     return rk.confidence(dense_topk(spark, folder), score="dense")
@@ -278,6 +283,16 @@ bare as (select query_id, list_filter(ts, lambda w: not list_contains({_STOP}, w
 ph as (select distinct query_id, array_to_string(ts[i:i+k-1], ' ') as pattern, k as words from bare, range(2, 5) r(k), range(1, 200) s(i) where i + k - 1 <= len(ts) and length(array_to_string(ts[i:i+k-1], ' ')) > 3),
 pat as (select query_id, pattern, cast(1 as int) as words, times from kw union all select query_id, pattern, cast(words as int), 1 from ph)"""
 
+
+def _picks(k: int) -> str:
+    """The k picks of marginal relevance, one after the other."""
+    parts = ["m as (select hyr.query_id, hyr.id, dense, e from hyr join den using (query_id, id) join vec using (id))", "near as (select a.query_id, a.id, b.id as other, list_cosine_similarity(a.e, b.e) as s from m a join m b using (query_id))", "p1 as (select query_id, id, 1 as pick from (select *, row_number() over (partition by query_id order by round(dense, 12) desc, id) as r from m) where r = 1)"]
+    for i in range(2, k + 1):
+        parts.append(f"v{i} as (select m.query_id, m.id, round(0.75::double * any_value(dense) - 0.25::double * max(s), 12) as v from m join near using (query_id, id) join p{i - 1} p on p.query_id = near.query_id and p.id = near.other where (m.query_id, m.id) not in (select (query_id, id) from p{i - 1}) group by m.query_id, m.id)")
+        parts.append(f"p{i} as (select * from p{i - 1} union all select query_id, id, {i} from (select *, row_number() over (partition by query_id order by v desc, id) as r from v{i}) where r = 1)")
+    return ", ".join(parts)
+
+
 SQL = {
     "term_frequencies": f"select doc_id, term, count(*) as tf from (select doc_id, unnest({_T.format('text')}) as term from documents) group by all",
     "bm25_index_stats": f"{_BASE} select term, df, round(ln((n-df+0.5)/(df+0.5)+1), 6) as idf from tdf cross join st",
@@ -288,6 +303,8 @@ SQL = {
     "hub_penalty": f"{_HYB} select query_id, id, round(hybrid, 6) as hybrid, rank from hyr",
     "dedup_topk": f"{_HYB} select query_id, id, rank from dd",
     "diversity_limits": f"{_HYB} select query_id, id, rank from (select *, row_number() over (partition by query_id, article order by rank) as m from (select *, row_number() over (partition by query_id, skey order by rank) as n from dd) where n = 1) where m <= 2",
+    "mmr_select": f"{_HYB}, {_picks(5)} select query_id, id, pick from p5",
+    "list_scores": f"{_HYB} select query_id, count(*) as n, round(avg(hybrid), 6) as mean_score, round(max(hybrid), 6) as max_score from hyr group by query_id",
     "confidence_scores": f"""{_VEC}, s as (select query_id, greatest(0.0, least(1.0, round(dense, 6))) as s from dentop),
       g as (select query_id, max(s) as best, avg(s) as mean, count(*) as n, count(*) filter (where s >= 0.25) as good from s group by query_id),
       b as (select *, cast(trunc(case when best < 0.25 then best/0.25*40 else 40+(best-0.25)/0.75*60 end) as int) as base, case when best > 0 then mean/best else 0 end as ratio from g),
@@ -333,4 +350,4 @@ SQL = {
     "question_patterns": f"with {_FIELDS} select query_id, pattern, words, times from pat",
     "corpus_terms": f"{_BASE} select id, dl from dl",
 }
-QUERIES = (term_frequencies, bm25_index_stats, bm25_topk, lexical_topk, dense_topk, dense_moments, hybrid_topk, hub_penalty, dedup_topk, diversity_limits, mmr_select, confidence_scores, coverage_gate, pack_dynamic, pack_articles, prompt_contexts, eval_labels, ir_metrics, ir_summary, eval_gate, keyword_overlap_topk, question_patterns, heuristic_relevance, query_expand, cited_chunks, ivf_topk, title_map, corpus_terms)
+QUERIES = (term_frequencies, bm25_index_stats, bm25_topk, lexical_topk, dense_topk, dense_moments, hybrid_topk, hub_penalty, dedup_topk, diversity_limits, mmr_select, list_scores, confidence_scores, coverage_gate, pack_dynamic, pack_articles, prompt_contexts, eval_labels, ir_metrics, ir_summary, eval_gate, keyword_overlap_topk, question_patterns, heuristic_relevance, query_expand, cited_chunks, ivf_topk, title_map, corpus_terms)

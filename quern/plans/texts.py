@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as tx
 from quern.functions.answers import parse_answers
 from quern.operators import references as rf
-from quern.operators.chunking import character_windows, chunk_id
+from quern.operators.chunking import boundary_pieces, build_chunks, character_windows, chunk_id
 from quern.plans.retrieval import chunk_rows, table
 
 
@@ -44,6 +44,18 @@ def heading_split(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "section", tx.heading_label(F.regexp_extract("body", "^(##[^\n]*)", 1)).alias("heading"), F.length("body").alias("n"))
 
 
+def ingest_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """All chunks built from the documents; a block that is too long is cut into windows, as no sentence model is at hand."""
+    docs = table(spark, folder, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "text")
+    return build_chunks(docs, sentences=False).select("id", "section", "subsection", "section_idx", "chunk_idx", "char_count", "word_count", F.col("metadata.section_importance").alias("importance"), F.md5("text").alias("digest"))
+
+
+def sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents in pieces of at most 1,600 characters, blocks that are too long being packed from their sentences."""
+    rows = table(spark, folder, "documents").select("doc_id", F.posexplode(boundary_pieces(F.col("text"))).alias("place", "piece"))
+    return rows.select("doc_id", "place", F.length("piece").alias("n"), F.md5("piece").alias("digest"))
+
+
 def metadata_extract(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "documents").where("text is not null").select("doc_id", tx.metadata(F.col("text")).alias("m"))
     return rows.select("doc_id", F.array_join("m.dates", "|").alias("dates"), F.array_join("m.urls", "|").alias("urls"), F.array_join("m.emails", "|").alias("emails"))
@@ -192,6 +204,23 @@ def _enum(name: str, known: str, default: str) -> str:
     return f"case when lower({x}) in ({known}) then lower({x}) else '{default}' end"
 
 
+# Long texts without lines that number a chunk, their one sign that has another compatible form written out; none is rich text, none holds marked articles.
+_PLAIN = r"regexp_replace(replace(regexp_replace({}, '(?m)^## +Chunk +\d+\s*$', '', 'g'), '™', 'TM'), '[ \t]+', ' ', 'g')"
+
+
+def _units(x: str) -> str:
+    starts = rf"(\n{_W}*\n|\n{_W}*[-*]{_W}+|\n{_W}*\p{{Nd}}+\.{_W}+|\n#{{2,}}{_W}+)"
+    return f"list_filter(string_split(regexp_replace({x}, '{starts}', chr(1) || '\\1', 'g'), chr(1)), lambda x: {_strip('x')} <> '')"
+
+
+_LABEL = f"regexp_replace(split_part(body, chr(10), 1), '^#+{_W}*', '')"
+_PACKED = "case when len(u) > 0 then list_reduce(list_transform(u, lambda x: {'done': []::varchar[], 'now': x}), lambda a, x: case when a.now <> '' and length(a.now) + length(x.now) > 1600 then {'done': list_append(a.done, a.now), 'now': x.now} else {'done': a.done, 'now': a.now || x.now} end) end"
+_WINDOWS = f"list_filter(list_transform(range(0, cast(ceil((length(x.s) - 200) / 1400.0) as bigint)), lambda w: {_strip('substr(x.s, w * 1400 + 1, 1600)')}), lambda y: y <> '')"
+_FULL = "len(a.now) > 0 and length(array_to_string(a.now, ' ')) + 1 + length(x.s) > 1600"
+_CLOSED = "case when len(a.now) > 0 then list_append(a.done, array_to_string(a.now, ' ')) else a.done end"
+_TAIL = "a.now[len(a.now) + 1 - len(list_filter(range(1, len(a.now) + 1), lambda j: length(array_to_string(a.now[-j:], ' ')) <= least(200, 1599 - length(x.s)))):]"
+_SENTENCES = f"""list_reduce(list_transform(list_filter(string_split(regexp_replace(piece, '([.!?]){_W}+', '\\1' || chr(1), 'g'), chr(1)), lambda y: y <> ''), lambda y: {{'done': []::varchar[], 'now': []::varchar[], 's': y}}),
+  lambda a, x: {{'done': case when length(x.s) > 1600 then list_concat({_CLOSED}, {_WINDOWS}) when {_FULL} then {_CLOSED} else a.done end, 'now': case when length(x.s) > 1600 then []::varchar[] when {_FULL} then list_append({_TAIL}, x.s) else list_append(a.now, x.s) end, 's': ''}}, {{'done': []::varchar[], 'now': []::varchar[], 's': ''}})"""
 SQL = {
     "query_normalize": rf"""with l as (select response_id, question, list_filter(list_transform(regexp_split_to_array(question, '\r\n|[\n\r\x0b\x0c\x{{1c}}-\x{{1e}}\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: {_strip('x')}),
         lambda x: x <> '' and not contains(lower(x), 'sent from my iphone') and not contains(lower(x), 'sent from my android') and not starts_with(x, '>') and not regexp_full_match(x, '[A-Za-z0-9+/=]{{60,}}')) as l from query_responses where question is not null),
@@ -212,6 +241,24 @@ SQL = {
     "heading_split": r"""with s as (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '\n(## +)', chr(1) || '\1', 'g'), chr(1)), lambda x: regexp_replace(x, '^[\s\x{0b}]+|[\s\x{0b}]+$', '', 'g')), lambda x: x <> '') as s from documents where text is not null),
       u as (select doc_id, unnest(s) as body, generate_subscripts(s, 1) - 1 as section from s)
       select doc_id, cast(section as int) as section, trim(regexp_replace(regexp_replace(regexp_extract(body, '^(##[^\n]*)', 1), '^\s*#+\s*', ''), '\s+', ' ', 'g')) as heading, length(body) as n from u""",
+    "ingest_chunks": rf"""with p as (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '\n(## +)', chr(1) || '\1', 'g'), chr(1)), lambda x: {_strip('x')}), lambda x: x <> '') as p from documents where text is not null),
+      s as (select doc_id, unnest(p) as body, generate_subscripts(p, 1) - 1 as section_idx from p),
+      h as (select *, {_one_space(_LABEL)} as section, coalesce(trim(regexp_extract_all(body, '(?m)^[ \t]*#{{3,4}}[ \t]+(.+)$', 1)[1]), '') as subsection from s),
+      u as (select doc_id, section_idx, section, subsection, body, {_units(_PLAIN.format('body'))} as u from h),
+      r as (select * exclude (u), {_PACKED} as r from u),
+      l as (select *, case when length(body) <= 1600 then [body] else list_append(r.done, r.now) end as l from r),
+      k as (select doc_id, section_idx, section, subsection, {_strip('unnest(l)')} as piece, generate_subscripts(l, 1) as k, length(body) <= 1600 as small, body from l),
+      w as (select *, unnest(range(0, case when length(piece) <= 1600 then 1 else cast(ceil((length(piece) - 200) / 1400.0) as bigint) end)) as w from k),
+      f as (select doc_id, section_idx, section, subsection, k, w, case when small then body else {_strip('substr(piece, w * 1400 + 1, 1600)')} end as piece from w),
+      n as (select *, row_number() over (partition by doc_id, section_idx order by k, w) - 1 as chunk_idx, 'Context: KB' || case when section <> '' and lower(section) <> 'kb' then ' > ' || section else '' end || case when subsection <> '' then ' > ' || subsection else '' end || chr(10) || chr(10) || piece as text from f where piece <> '')
+      select doc_id || '_' || section_idx || '_' || chunk_idx || '_' || left(sha1(doc_id || '|' || section_idx || '|' || chunk_idx || '|' || text), 8) as id, section, subsection, cast(section_idx as int) as section_idx, cast(chunk_idx as int) as chunk_idx, length(text) as char_count,
+        len(string_split({_one_space('text')}, ' ')) as word_count, case when lower(section) in ('key points', 'limits & gotchas', 'canonical answer') then 'high' when contains(lower(section), 'faq') then 'medium' end as importance, md5(text) as digest from n""",
+    "sentence_pieces": f"""with u as (select doc_id, text, {_units(_PLAIN.format('text'))} as u from documents where text is not null and {_strip('text')} <> ''), r as (select doc_id, text, {_PACKED} as r from u),
+      l as (select doc_id, length(text) <= 1600 as small, case when length(text) <= 1600 then [text] else list_transform(list_append(r.done, r.now), lambda x: {_strip('x')}) end as l from r),
+      k as (select doc_id, small, unnest(l) as piece, generate_subscripts(l, 1) as k from l), q as (select *, case when length(piece) > 1600 then {_SENTENCES} end as q from k where piece <> ''),
+      p as (select doc_id, small, k, case when q is null then [piece] when len(q.now) > 0 then list_append(q.done, array_to_string(q.now, ' ')) else q.done end as p from q),
+      f as (select doc_id, k, case when small then unnest(p) else {_strip('unnest(p)')} end as piece, generate_subscripts(p, 1) as s from p)
+      select doc_id, cast(row_number() over (partition by doc_id order by k, s) - 1 as int) as place, length(piece) as n, md5(piece) as digest from f where piece <> ''""",
     "metadata_extract": r"""with m as (select doc_id, regexp_extract_all(text, '\b\d{1,2}/\d{1,2}/\d{4}\b') as a, regexp_extract_all(text, '\b\d{4}-\d{2}-\d{2}\b') as b, regexp_extract_all(text, '\b\d{1,2}-\d{1,2}-\d{4}\b') as c,
         regexp_extract_all(text, 'https?://[^\s<>"{}|\\^`\[\]]+') as u, regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b') as e from documents where text is not null)
       select doc_id, array_to_string(case when len(a) > 0 then a when len(b) > 0 then b else c end, '|') as dates, array_to_string(u[1:5], '|') as urls, array_to_string(e[1:5], '|') as emails from m""",
@@ -267,4 +314,4 @@ SQL = {
       b as (select key, response_id, row_number() over (partition by key order by t desc, response_id desc) as r from k where t is not null)
       select k.key, count(*) as n, any_value(b.response_id) as response_id from k join b on k.key = b.key and b.r = 1 group by k.key""",
 }
-QUERIES = (query_normalize, question_checks, char_chunks, chunk_ids, heading_split, metadata_extract, token_counts, noise_stripped, escaped_chunks, chunk_keys, citations_validate, answer_envelopes, source_urls, source_urls_all, response_payloads, citation_details, source_matches, chunk_log, sanitize_client, log_lines, faq_lookup)
+QUERIES = (query_normalize, question_checks, char_chunks, chunk_ids, heading_split, ingest_chunks, sentence_pieces, metadata_extract, token_counts, noise_stripped, escaped_chunks, chunk_keys, citations_validate, answer_envelopes, source_urls, source_urls_all, response_payloads, citation_details, source_matches, chunk_log, sanitize_client, log_lines, faq_lookup)

@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,11 +48,13 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("kind"), pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["path", "kind", "text", "error"])
 
 
-def read_documents(spark: SparkSession, folder: str, kinds: tuple[str, ...] = ("md", "markdown", "txt", "html", "htm", "docx", "pdf")) -> DataFrame:
-    """(path, kind, text, error) of every file below a folder with one of the extensions; markup is reduced to its text, unreadable files keep a null text and their error."""
+def read_documents(spark: SparkSession, folder: str, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """(path, kind, text, error) of every file below a folder, or of those with one of the extensions; markup is reduced to its text, unknown extensions are read as plain text, unreadable files keep a null text and their error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    rows = files.select("path", kind.alias("kind"), "content").where(F.col("kind").isin(*kinds))
+    rows = files.select("path", kind.alias("kind"), "content")
+    if kinds is not None:
+        rows = rows.where(F.col("kind").isin(*kinds))
     rows = rows.mapInArrow(_decode, "path string, kind string, text string, error string")
     return rows.withColumn("text", F.when(F.col("kind").isin("html", "htm"), tx.html_text(F.col("text"))).otherwise(F.col("text")))
 
@@ -104,6 +107,23 @@ def read_synonyms(spark: SparkSession, path: str, most: int = 10_000) -> DataFra
     return rows
 
 
+def read_answer_cache(spark: SparkSession, path: str, signature: str | None = None) -> DataFrame:
+    """(key, answer) of a cache of answers as `tables.write_answer_cache` writes it; one that was made from another corpus than `signature`, or says of none, has no rows, and neither has a missing one."""
+    schema = "key string, answer string, corpus string"
+    try:
+        rows = spark.read.schema(schema).json(path)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        rows = spark.createDataFrame([], schema)
+    return (rows if signature is None else rows.where(F.col("corpus") == signature)).select("key", "answer")
+
+
+def corpus_signature(meta: Column) -> Column:
+    """The signature that index metadata (a map) names: kb_sha256, else kb_sha, else kb_signature; empty ones don't count."""
+    return F.coalesce(*(F.when(meta[k] != "", meta[k]) for k in ("kb_sha256", "kb_sha", "kb_signature")))
+
+
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """(question) per line; blank lines and those that start with # are skipped."""
     return spark.read.text(path).select(F.trim("value").alias("question")).where("question <> '' and not startswith(question, '#')")

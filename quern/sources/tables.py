@@ -85,6 +85,12 @@ def write_embedding_cache(rows: DataFrame, path: str) -> None:
     rows.select("hash", F.col("embedding").cast("array<float>").alias("embedding"), "backend", "model", F.size("embedding").alias("dim")).write.mode("overwrite").json(path)
 
 
+def write_answer_cache(rows: DataFrame, path: str, signature: str | None) -> None:
+    """Answers (key, answer) as JSON lines with the signature of the corpus they were made from; of equal keys the smallest answer stays. An existing folder is replaced once all files are written."""
+    once = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("answer").alias("answer"))
+    once.withColumn("corpus", F.lit(signature).cast("string")).write.mode("overwrite").json(path)
+
+
 def append_log(rows: DataFrame, path: str, keep_text: bool = False, most_rows: int = 1_000_000) -> None:
     """Query-log rows as JSON lines, without chunk texts unless asked for, in files of bounded size."""
     if not keep_text and "retrieved_chunks" in rows.columns:

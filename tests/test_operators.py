@@ -250,17 +250,29 @@ def test_build_chunks(spark):
     titles = {r.title for r in rows}
     assert titles == {"First page", "Second", "Third", "KB"} and not any("secret" in r.text for r in rows)
     first = sorted((r for r in rows if r.title == "First page"), key=lambda r: r.section_idx)
-    assert [r.section for r in first] == ["First page", "Setup", "Use"]
+    assert [r.section for r in first] == ["intro", "Setup", "Use"]
     assert first[1].subsection == "Detail" and first[1].text.startswith("Context: First page > Setup > Detail\n\n") and first[1].url == "https://x.example/1"
     assert {r.url for r in rows if r.title == "Second"} == {"https://x.example/2"}
-
-
-def test_boundary_pieces():
-    text = "\n\n".join(f"Paragraph {i}. " + "word " * 30 for i in range(20))
-    pieces = chunking.boundary_pieces(text, 400, 50)
-    assert all(0 < len(p) <= 400 for p in pieces) and all(f"Paragraph {i}." in " ".join(pieces) for i in range(20))
-    assert chunking.boundary_pieces("y" * 1000, 300, 50)[0] == "y" * 300
-    assert chunking.boundary_pieces("  ", 300, 50) == []
+    assert {r.article_id for r in rows if r.title == "First page"} == {"k1"} and all(r.id.startswith(f"k1_{r.section_idx}_{r.chunk_idx}_") and len(r.id) == 15 for r in first)
+    assert first[0].metadata.breadcrumb == "First page > intro" and first[0].metadata.section_type == "intro" and first[0].metadata.section_importance is None
+    marked = chunking.build_chunks(spark.createDataFrame([("a.md", "# [ARTICLE] Guide - Help\n## Key points\nx\n## Short FAQ\ny\n## guide\nz")], "path string, text string"), title_suffix=" - Help").orderBy("section_idx").collect()
+    assert [r.metadata.section_importance for r in marked] == ["high", "medium", None] and [r.metadata.breadcrumb for r in marked] == ["Guide > Key points", "Guide > Short FAQ", "Guide"]
+
+
+def test_boundary_pieces(spark):
+    paragraphs = "\n\n".join(f"Paragraph {i}. " + "word " * 30 for i in range(20))
+    sentences = " ".join(f"Sentence {i} has some words." for i in range(60))
+    texts = {1: paragraphs, 2: "y" * 1000, 3: "  ", 4: None, 5: "intro\n- one " + "a" * 300 + "\n- two\n2. three\n\n\n## Four\n" + "b" * 90, 6: sentences, 7: "short \t text", 8: "One. " + "z" * 700 + ". Two. Three."}
+    df = spark.createDataFrame(list(texts.items()), "id int, t string")
+    got = {r.id: r.p for r in df.select("id", chunking.boundary_pieces(F.col("t"), 400, 50).alias("p")).collect()}
+    assert all(0 < len(p) <= 400 for pieces in got.values() for p in pieces)
+    assert all(f"Paragraph {i}." in "\n".join(got[1]) for i in range(20)) and got[1][0].count("Paragraph") == 2
+    assert got[2] == ["y" * 400, "y" * 400, "y" * 300] and got[3] == [] and got[4] == [] and got[7] == ["short \t text"]
+    assert got[5] == ["intro\n- one " + "a" * 300 + "\n- two\n2. three", "## Four\n" + "b" * 90]
+    assert all(p.startswith("Sentence") and p.endswith("words.") for p in got[6]) and all(a.split(". ")[-1] == b.split(". ")[0] + "." for a, b in zip(got[6], got[6][1:]))
+    assert got[8][0] == "One." and got[8][1] == "z" * 400 and got[8][-1] == "Two. Three."
+    plain = {r.id: r.p for r in df.select("id", chunking.boundary_pieces(F.col("t"), 400, 50, sentences=False).alias("p")).collect()}
+    assert plain[6][0] == sentences[:400].strip() and plain[6][1] == sentences[350:750].strip()
 
 
 def test_histogram_ranks_and_counters(spark):
@@ -303,3 +315,18 @@ def test_cache_and_breaker():
     assert [cache.ask(k, t) for k, t in (("a", 0), ("a", 5), ("b", 6), ("c", 7), ("a", 8), ("c", 30))] == ["miss", "hit", "miss", "miss_evict", "miss_evict", "expired"]
     breaker = state.Breaker(2, 10)
     assert [breaker.report(t, ok) for t, ok in ((0, False), (1, False), (2, True), (12, False), (13, True), (25, True), (26, False))] == ["closed", "open", "open", "open", "open", "closed", "closed"]
+
+
+def test_profile_summary(spark):
+    schema = "dense_dot_time_ms double, dense_computed int, dense_saved int, dense_total int, candidates int, used_faiss boolean, used_hnsw boolean"
+    rows = [(1.0, 10, 5, 15, 4, False, True), (2.0, None, 1, 15, 5, None, False)]
+    assert tuple(metrics.profile_summary(spark.createDataFrame(rows, schema)).first()) == ("hnsw", 1.5, 5.0, 3.0, 0.2, 4.5)
+    assert tuple(metrics.profile_summary(spark.createDataFrame([(None,) * 7], schema)).first()) == ("linear", 0.0, 0.0, 0.0, 0.0, 0.0)
+    assert metrics.profile_summary(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_export_and_query_records(spark):
+    schema = "response_id int, question string, answer string, refused boolean, confidence double, timing struct<total_ms:double,retrieve_ms:double,llm_ms:double>, routing struct<action:string,level:string,escalated:boolean>"
+    got = metrics.query_records(spark.createDataFrame([(1, "q" * 150, "a", True, 7.0, (3.0, None, 1.0), ("auto", None, True)), (2, None, None, None, None, None, None)], schema)).orderBy("response_id").collect()
+    assert tuple(got[0]) == (1, 150, "q" * 100, 1, True, 7.0, 3.0, 0.0, 1.0, "auto", "unknown", True)
+    assert tuple(got[1]) == (2, 0, None, 0, False, None, 0.0, 0.0, 0.0, "unknown", "unknown", False)

@@ -20,9 +20,9 @@ def test_documents_of_all_kinds(spark, tmp_path):
         z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:p><w:t>para</w:t></w:p><w:p><w:t>two</w:t></w:p></w:document>')
     (tmp_path / "c.docx").write_bytes(data.getvalue())
     (tmp_path / "broken.docx").write_bytes(b"no zip")
-    (tmp_path / "skip.bin").write_bytes(b"x")
+    (tmp_path / "other.bin").write_bytes(b"x")
     got = {r.path.rsplit("/", 1)[1]: (r.text, r.error is not None) for r in readers.read_documents(spark, str(tmp_path)).collect()}
-    assert got == {"a.md": ("# Title\ntext", False), "b.html": ("one two", False), "c.docx": ("para\ntwo", False), "broken.docx": (None, True)}
+    assert got == {"a.md": ("# Title\ntext", False), "b.html": ("one two", False), "c.docx": ("para\ntwo", False), "broken.docx": (None, True), "other.bin": ("x", False)}
     assert readers.read_markdown(spark, str(tmp_path)).count() == 1
 
 
@@ -86,3 +86,24 @@ def test_providers(spark):
     answers = spark.createDataFrame([(1, '[{"id":"c","score":2},{"id":"a","score":1},{"id":"q","score":9}]'), (2, "oops")], "query_id int, answer string")
     out = [(r.query_id, r.id, r["rank"]) for r in providers.rerank_by_answers(ranked, answers).orderBy("query_id", "rank").collect()]
     assert out == [(1, "c", 1), (1, "a", 2), (2, "z", 1)]
+
+
+def test_answer_cache(spark, tmp_path):
+    at = str(tmp_path / "answers")
+    assert readers.read_answer_cache(spark, at, "s1").count() == 0
+    rows = spark.createDataFrame([("k1", "b"), ("k1", "a"), ("k2", None), (None, "x")], "key string, answer string")
+    tables.write_answer_cache(rows, at, "s1")
+    got = {r.key: r.answer for r in readers.read_answer_cache(spark, at, "s1").collect()}
+    assert got == {"k1": "a", "k2": None} == {r.key: r.answer for r in readers.read_answer_cache(spark, at).collect()}
+    assert readers.read_answer_cache(spark, at, "s2").count() == 0
+    tables.write_answer_cache(rows, at, None)
+    assert readers.read_answer_cache(spark, at, "s2").count() == 0 and readers.read_answer_cache(spark, at).count() == 2
+    meta = spark.createDataFrame([({"kb_sha": "b", "kb_sha256": ""},), ({"kb_signature": "c"},), ({},), (None,)], "m map<string,string>")
+    assert [r[0] for r in meta.select(readers.corpus_signature(meta.m)).collect()] == ["b", "c", None, None]
+
+
+def test_unknown_extensions_are_text(spark, tmp_path):
+    (tmp_path / "a.log").write_text("plain")
+    (tmp_path / "b.md").write_text("# b")
+    assert {(r.kind, r.text) for r in readers.read_documents(spark, str(tmp_path)).collect()} == {("log", "plain"), ("md", "# b")}
+    assert [r.kind for r in readers.read_documents(spark, str(tmp_path), ("md",)).collect()] == ["md"]
