@@ -123,6 +123,15 @@ def test_exact_search_finds_every_pair(spark, monkeypatch):
     assert {(r.id_a, r.id_b) for r in nearduplicates.group_pairs(got).collect()} == {(a, b) for g in whole for a in g for b in g if a < b}
 
 
+def test_pair_that_shares_only_its_last_members(spark):
+    words = spark.range(600).selectExpr("concat('v', id) as t").select("t", nearduplicates.word_hashes(F.col("t"))[0].alias("h")).collect()
+    order = np.argsort(nearduplicates.mix64(np.array([r.h for r in words]).view(np.uint64)))
+    by_hash = [words[i].t for i in order]
+    texts = [("a", " ".join(by_hash[:300:2] + by_hash[300:])), ("b", " ".join(by_hash[1:300:2] + by_hash[300:]))]  # 300 of 600 shared
+    got = nearduplicates.near_duplicates(spark.createDataFrame(texts, "id string, text string"), words=1, threshold=0.5)
+    assert {r.id: r.links for r in got.collect()} == {"a": 1, "b": 1}
+
+
 def test_near_duplicates_of_nothing(spark):
     empty = spark.createDataFrame([], "id string, text string")
     assert nearduplicates.near_duplicates(empty).count() == 0
