@@ -5,6 +5,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +134,25 @@ def test_pair_that_shares_only_its_last_members(spark):
     assert {r.id: r.links for r in got.collect()} == {"a": 1, "b": 1}
 
 
+def test_pairs_looked_at_do_not_grow_with_the_square_of_common_runs(monkeypatch):
+    rng, texts, looked = np.random.default_rng(4), 6000, []
+    runs = np.sort(rng.integers(0, 1 << 40, 600, dtype=np.int64))  # every run is in a tenth of the texts
+    sets = [np.sort(rng.choice(runs, 60, replace=False)) for _ in range(texts)]
+    sets[-1] = np.sort(np.append(sets[0][:50], np.setdiff1d(runs, sets[0])[:10]))  # 50 of 70
+    members = np.concatenate(sets).view(np.uint8).reshape(-1, 8)[:, :5]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(texts)), nearduplicates._binary(members, np.array([5 * len(x) for x in sets]))], ["d", "s"])
+    ranges = nearduplicates._ranges
+    monkeypatch.setattr(nearduplicates, "_ranges", lambda *x: (looked.append(len(y[0])) or y for y in ranges(*x)))
+    monkeypatch.setattr(nearduplicates.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    tree = pa.Table.from_batches(nearduplicates._tree_rows([batch], 4, np.array([1 << 62]), np.array([0])))
+    found = set()
+    for k in range(4):
+        for rows in nearduplicates._meet(tree.filter(pa.compute.equal(tree["range"], k)).to_batches(), 0.5, 1 << 15):
+            found |= set(zip(rows.column("a").to_pylist(), rows.column("b").to_pylist()))
+    assert (0, texts - 1) in found and len(found) < 100
+    assert sum(looked) < 12_000_000  # 30 million if every node were looked at as a whole
+
+
 def test_near_duplicates_of_nothing(spark):
     empty = spark.createDataFrame([], "id string, text string")
     assert nearduplicates.near_duplicates(empty).count() == 0
